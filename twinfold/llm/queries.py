@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import decontamination, exact_dedup, packing, secrets, token_output
+from twinfold.llm import decontamination, exact_dedup, near_join, packing, secrets, token_output
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -61,6 +61,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_classes(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -88,6 +92,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secret_scan": op2_secret_scan,
+    "op4_near_join": op4_near_join,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_packing": op7_packing,
     "op9_token_output": op9_token_output,
