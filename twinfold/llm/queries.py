@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import decontamination, exact_dedup, near_join, packing, secrets, token_output
+from twinfold.llm import decontamination, exact_dedup, hmm, near_join, packing, secrets, token_output
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -81,6 +81,15 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 """
 
 
+def _remainder(modulus: int) -> Column:
+    """crc32 of doc_id as text, modulo; null ids have none."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op6_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_table(spark, sf_dir, "documents"), _remainder(7) == 2)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), WORD_VOCABULARY, end=2, window=4096)
 
@@ -94,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op4_near_join": op4_near_join,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_hmm_scoring": op6_hmm_scoring,
     "op7_packing": op7_packing,
     "op9_token_output": op9_token_output,
 }
