@@ -4,15 +4,16 @@ Keys are 64-bit hashes of the normalised text (white space deleted). The index i
 
 1. Entries: one narrow row per document (id, key, code points, digest), and per key a count, pre-aggregated
    before the shuffle, so that a group that holds a third of all rows is one entry.
-2. Directory: buckets are ranges of keys that share their first `depth` bits. Starting from one bucket, every
-   bucket with more than `capacity` keys is overfull and the directory doubles: it is split by one more bit, until
-   no bucket is overfull or `max_depth` is reached (a bucket of that depth keeps its overflow, which is exact too).
-   Step d only regroups the keys of buckets that are overfull at d - 1.
+2. Directory: buckets are ranges of keys that share their first `depth` bits. It is laid out for the number of keys,
+   2 ** depth buckets of `capacity` at most on average. A bucket with more than `capacity` keys is overfull and the
+   directory doubles: the bucket is split by one more bit, until none is overfull or `max_depth` is reached (a bucket
+   of that depth keeps its overflow, which is exact too). A step regroups only the keys of overfull buckets; hashes
+   are even, so one or two steps do at any size.
 3. Bucket files: entries are dealt to owner tasks by bucket, so a task owns key ranges, and are written in key order.
 4. Chains: only keys with two rows or more can hold copies or collisions. Their texts are read again and grouped
    by key and text: a key's distinct texts are its chain, told apart by their bytes, each with its copies' count and
-   its best row. Rows meet their chain link by an equi-join on key and bytes, a sort-merge join that adaptive
-   execution can split where one key is hot. Other rows are their own group; their texts never move.
+   its best row. Rows meet their chain link by an equi-join on key and bytes. Texts move once, in a sort-merge join at
+   every size, which adaptive execution can split where one key is hot; what it keeps is written to shared files.
 
 Defined results: a null text is empty; texts that are only white space equal the empty one; of equal texts the
 row with the most code points in the original text stays, then the smallest doc_id (a null id last); repeated rows
@@ -22,6 +23,7 @@ no rows give no rows; other columns are ignored whatever their names.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -54,18 +56,20 @@ def _prefix(depth: int) -> Column:
     return F.call_function("shiftrightunsigned", F.col("key"), F.lit(64 - depth)) if depth else F.lit(0).cast("long")
 
 
-def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> list[DataFrame]:
-    """Tables (depth, prefix, keys) of the final buckets of the (key) table, one table per depth; a small job per doubling."""
-    tables, left = [], keys.select("key")
-    for depth in range(max_depth + 1):
+def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, first_depth: int | None = None) -> dict[int, DataFrame]:
+    """Tables (depth, prefix, keys) of the final buckets of the (key) table, by depth; a job per doubling."""
+    if first_depth is None:
+        first_depth = min(max_depth, max(0, math.ceil(math.log2(max(1, keys.count()) / capacity))))
+    tables, left = {}, keys.select("key")
+    for depth in range(first_depth, max_depth + 1):
         sums = left.groupBy(_prefix(depth).alias("prefix")).agg(F.count("*").alias("keys"))
         level = stored(sums.select(F.lit(depth).alias("depth"), "prefix", "keys"), "directory")
         over = F.col("keys") > (capacity if depth < max_depth else 2**62)
-        tables.append(level.filter(~over))
+        tables[depth] = level.filter(~over)
         overfull = level.filter(over).select("prefix")
         if overfull.isEmpty():
             break
-        left = left.withColumn("prefix", _prefix(depth)).join(overfull, "prefix", "left_semi").select("key")
+        left = stored(left.withColumn("prefix", _prefix(depth)).join(overfull, "prefix", "left_semi").select("key"), "overfull")
     return tables
 
 
@@ -76,7 +80,7 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
     counts = stored(rows.groupBy("key").agg(F.count("*").alias("copies")), "keys")
     entries = [
         counts.withColumn("prefix", _prefix(depth)).join(buckets.select("depth", "prefix"), "prefix").select("depth", "prefix", "key", "copies")
-        for depth, buckets in enumerate(directory(counts, capacity, max_depth))
+        for depth, buckets in directory(counts, capacity, max_depth).items()
     ]
     owned = reduce(DataFrame.unionByName, entries)
     path = path or shared_path(spark, "index")
@@ -89,7 +93,7 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
     rows, index = build_index(docs, capacity, max_depth)
     several = index.filter(F.col("copies") > 1).select("key")
     alone = rows.join(several, "key", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    again = _keyed(docs).join(several, "key", "left_semi")
+    again = stored(_keyed(docs).join(several.hint("merge"), "key", "left_semi"), "several")
     order = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("unknown"), "doc_id")
     chains = stored(again.groupBy("key", "norm").agg(F.count("*").alias("group_size"), F.min(order).alias("best")), "chains")
     same = again.join(chains, ["key", "norm"]).select(
