@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import decontamination, exact_dedup, hmm, near_join, packing, secrets, token_output
+from twinfold.llm import decontamination, exact_dedup, hmm, language, licenses, near_join, packing, quality, secrets, token_output
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -61,6 +61,19 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    best = F.sort_array(F.transform("licenses", lambda x: F.struct((-x["coverage"]).alias("c"), x["name"].alias("name"))))
+    spans = F.transform("licenses", lambda x: F.concat_ws(":", x["name"], x["start"].cast("string"), x["end"].cast("string")))
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.get(best, F.lit(0))["name"].alias("license"),
+        F.coalesce(-F.get(best, F.lit(0))["c"], F.lit(0.0)).alias("coverage"),
+        F.array_join(spans, ",").alias("spans"),
+    )
+
+
 def op4_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_classes(_table(spark, sf_dir, "documents"))
 
@@ -94,17 +107,32 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), WORD_VOCABULARY, end=2, window=4096)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), F.coalesce(_remainder(4) != 2, F.lit(False)))
+    return quality.score(docs, model).select(
+        "doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY, end=0)
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secret_scan": op2_secret_scan,
+    "op3_license_scan": op3_license_scan,
     "op4_near_join": op4_near_join,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_hmm_scoring": op6_hmm_scoring,
     "op7_packing": op7_packing,
+    "op8_quality": op8_quality,
     "op9_token_output": op9_token_output,
+    "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_exact_dedup": OP5_SQL}
