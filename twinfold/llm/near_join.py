@@ -247,7 +247,7 @@ def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     placed = held.join(shape.select("group", "blocks"), "group").select(
         "group", "blocks", "set_key", "copies", "text_key", F.pmod(F.xxhash64("set_key"), "blocks").cast("int").alias("own")
     )
-    texts = keyed.join(placed.select("text_key").distinct(), "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
+    texts = keyed.join(placed.select("text_key").distinct().hint("merge"), "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
     texts = texts.join(placed, "text_key").select("text", "group", "blocks", "set_key", "copies", "own")
     sets = texts.mapInArrow(lambda it: _sets(it, n), "group long, blocks int, set_key long, copies long, own int, set array<long>")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
