@@ -9,6 +9,7 @@ import stat
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinfold.functions.digests import WINDOW_BYTES, weak_pairs
 
@@ -24,7 +25,7 @@ def _opened(path: str, size: int):
     return file
 
 
-@F.pandas_udf("crc32 long, sum32 long, error string")
+@F.pandas_udf(T.StructType([T.StructField("crc32", T.LongType()), T.StructField("sum32", T.LongType()), T.StructField("error", T.StringType())]))
 def _weak(paths: pd.Series, sizes: pd.Series) -> pd.DataFrame:
     rows = []
     for path, size in zip(paths, sizes, strict=True):
@@ -42,7 +43,7 @@ def _weak(paths: pd.Series, sizes: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["crc32", "sum32", "error"]).astype({"crc32": "Int64", "sum32": "Int64"})
 
 
-@F.pandas_udf("sha256 string, error string")
+@F.pandas_udf(T.StructType([T.StructField("sha256", T.StringType()), T.StructField("error", T.StringType())]))
 def _full(paths: pd.Series, sizes: pd.Series) -> pd.DataFrame:
     rows = []
     for path, size in zip(paths, sizes, strict=True):

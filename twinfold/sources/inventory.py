@@ -70,7 +70,7 @@ class InventoryReader(DataSourceReader):
                     names = sorted(e.name for e in os.scandir(base) if e.is_dir(follow_symlinks=self.follow))
                 except OSError:
                     names = []  # the walk of the base reports it
-                out += [Subtree(pattern, base, match, os.path.join(base, n), n, True) for n in names]
+                out += [Subtree(pattern, base, match, os.path.realpath(os.path.join(base, n)) if self.follow else os.path.join(base, n), n, True) for n in names]
         return out or [Subtree("", "", "", "", "", False)]
 
     def read(self, partition: Subtree) -> Iterator[tuple]:
