@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import public_tokenizers
@@ -61,6 +62,47 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _pattern_spans_sql(rank: int) -> str:
+    kind, pattern, group, least = secrets.PATTERNS[rank]
+    rx = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {rank} AS rank, CAST(list_sum(list_transform(list_slice(gaps, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(found, 1, i - 1), lambda x: length(x))), 0) AS BIGINT) AS start,
+    length(found[i]) AS size, length(vals[i]) AS counted, {least} AS least, found[i] AS text
+  FROM (SELECT doc_id, string_split_regex(t, '{rx}') AS gaps, regexp_extract_all(t, '{rx}', 0) AS found, regexp_extract_all(t, '{rx}', {group}) AS vals,
+    unnest(range(1, len(regexp_extract_all(t, '{rx}', 0)) + 1)) AS i FROM d WHERE regexp_matches(t, '{rx}'))"""
+
+
+def _op2_sql() -> str:
+    """Base spans by splitting, entropy spans by counting every window anew."""
+    most = " ".join(f"WHEN regexp_matches(c, '{p}') THEN {math.floor(secrets.WINDOW * (math.log2(secrets.WINDOW) - bits) * secrets.UNIT)}" for _, p, bits in secrets.CLASSES)
+    allowed = " AND ".join(f"NOT regexp_matches(text, '{p}')" for p in secrets.ALLOWED)
+    rx, w = secrets.CANDIDATE, secrets.WINDOW
+    kinds = ", ".join(f"'{p[0]}'" for p in secrets.PATTERNS)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+), base AS (
+  SELECT doc_id, rank, start, start + size AS "end" FROM ({" UNION ALL ".join(_pattern_spans_sql(r) for r in range(len(secrets.PATTERNS)))}) WHERE counted >= least
+), cand AS (
+  SELECT doc_id, text AS c, CAST(list_sum(list_transform(list_slice(gaps, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(found, 1, i - 1), lambda x: length(x))), 0) AS BIGINT) AS start FROM (
+    SELECT doc_id, gaps, found, i, found[i] AS text FROM (
+      SELECT doc_id, string_split_regex(t, '{rx}') AS gaps, regexp_extract_all(t, '{rx}', 0) AS found, unnest(range(1, len(regexp_extract_all(t, '{rx}', 0)) + 1)) AS i FROM d WHERE regexp_matches(t, '{rx}'))
+  ) WHERE {allowed}
+), win AS (SELECT doc_id, start, c, k, substr(c, k + 1, {w}) AS piece FROM (SELECT doc_id, start, c, unnest(range(0, length(c) - {w - 1})) AS k FROM cand)
+), chars AS (SELECT doc_id, start, c, k, ch, count(*) AS n FROM (SELECT doc_id, start, c, k, unnest(regexp_extract_all(piece, '.')) AS ch FROM win) GROUP BY ALL
+), sums AS (SELECT doc_id, start, c, k, sum(([{", ".join(map(str, secrets.PLOGP))}])[n + 1]) AS total FROM chars GROUP BY ALL
+), hot AS (SELECT doc_id, start + min(k) AS start, start + max(k) + {w} AS "end" FROM sums WHERE total <= CASE {most} END GROUP BY doc_id, sums.start, c
+), more AS (SELECT doc_id, {len(secrets.PATTERNS)} AS rank, start, "end" FROM hot h WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = h.doc_id AND b.start < h."end" AND h.start < b."end")
+), named AS (SELECT doc_id, rank, start, ([{kinds}, '{secrets.ENTROPY}'])[rank + 1] || ':' || start || ':' || "end" AS s FROM (SELECT * FROM base UNION ALL SELECT * FROM more)
+), sums_by AS (
+  SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, count(*) FILTER (rank = 3) AS n_entropy,
+    string_agg(s, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(s, ',' ORDER BY start, rank) AS spans FROM named GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_entropy, 0) AS n_entropy,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN sums_by USING (doc_id)"""
+
+
+OP2_SQL = _op2_sql()
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(_table(spark, sf_dir, "documents"))
     best = F.sort_array(F.transform("licenses", lambda x: F.struct((-x["coverage"]).alias("c"), x["name"].alias("name"))))
@@ -78,6 +120,23 @@ def op4_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_classes(_table(spark, sf_dir, "documents"))
 
 
+#: All pairs that share an n-gram, whole sets compared, and groups by following links to smaller ids.
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)
+), sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(gram, '|' ORDER BY gram)) AS key FROM g GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY ALL) p
+  JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y WHERE 10 * k >= 8 * (a.n + b.n - k)
+), reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.v
+), class AS (SELECT u AS doc_id, min(v) AS class_id FROM reach GROUP BY u
+), counted AS (SELECT u AS doc_id, count(*) AS n_links, count(DISTINCT b.key) FILTER (b.key <> a.key) AS n_text_links FROM links JOIN sets a ON a.doc_id = u JOIN sets b ON b.doc_id = v GROUP BY u)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_text_links, 0) AS n_text_links FROM class LEFT JOIN counted USING (doc_id)
+"""
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -135,4 +194,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_output": op9_token_output,
     "op10_language": op10_language,
 }
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_exact_dedup": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_secret_scan": OP2_SQL, "op4_near_join": OP4_SQL, "op5_exact_dedup": OP5_SQL}
