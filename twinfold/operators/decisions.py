@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +72,8 @@ def summary(inventory: DataFrame, outcomes: DataFrame) -> DataFrame:
         of("deleted").alias("deleted_files"), of("hardlinked").alias("hardlinked_files"), of("cow_cloned").alias("cow_cloned_files"), of("skipped_ro").alias("skipped_ro_files"),
         of("skipped_ref").alias("skipped_ref_files"), of("skipped_changed").alias("skipped_changed_files"), of("error").alias("failed_files"),
     )
-    return totals.join(dupes).join(results)  # one row each
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (totals, dupes, results))  # one row each
+    return rows.agg(*(F.max(c).alias(c) for c in rows.columns))
 
 
 def cow_summary(groups: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinfold.session import stored
+
 _PLACE = ["grp", "dev"]
 
 
@@ -38,20 +40,37 @@ def merged(extents: DataFrame) -> DataFrame:
     return island.groupBy(*_PLACE, "member", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
+def running_sum(rows: DataFrame, keys: list[str], order: str, value: Column, name: str) -> DataFrame:
+    """rows with `name`, the sum of value over the rows of the same keys up to each one in order (orders are distinct).
+
+    Rows are dealt out by range, summed within each range, and each range starts from the totals of those before it:
+    a group of any size spreads over many tasks."""
+    dealt = stored(rows.withColumn("_value", value).repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_range", *keys).agg(F.sum("_value").alias("_total"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a group
+    bases = stored(totals.select("_range", *keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base")), "bases")
+    within = Window.partitionBy("_range", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumn("_within", F.sum("_value").over(within)).join(bases, ["_range", *keys])
+    return summed.withColumn(name, F.col("_base") + F.col("_within")).select(*rows.columns, name)
+
+
 def _swept(ranges: DataFrame) -> DataFrame:
-    """grp, dev, coord, held: units below coord that two members or more hold."""
+    """grp, dev, coord, held: units below coord that two members or more hold.
+
+    The units are the sum of next - coord over the points from which two or more hold on. Summed by parts, each point
+    adds its coord times the change of that condition, so two running sums do and no point needs its neighbour."""
     ends = ranges.select(*_PLACE, F.explode(F.array(F.struct(F.col("start").alias("coord"), F.lit(1).alias("delta")), F.struct(F.col("end").alias("coord"), F.lit(-1).alias("delta")))).alias("e"))
     points = ends.groupBy(*_PLACE, F.col("e.coord").alias("coord")).agg(F.sum("e.delta").alias("delta"))
-    along = Window.partitionBy(*_PLACE).orderBy("coord")
-    depth = points.withColumn("depth", F.sum("delta").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("coord").over(along))
-    held = F.sum(F.when(F.col("depth") >= 2, F.col("next") - F.col("coord")).otherwise(0))
-    return depth.select(*_PLACE, "coord", F.coalesce(held.over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("held"))
+    depth = running_sum(points, _PLACE, "coord", F.col("delta"), "depth")
+    before, now = (F.col("depth") - F.col("delta") >= 2).cast("long"), (F.col("depth") >= 2).cast("long")
+    change = running_sum(depth, _PLACE, "coord", (before - now) * F.col("coord"), "change")
+    return change.select(*_PLACE, "coord", (F.col("change") + now * F.col("coord")).alias("held"))
 
 
 def shared_bytes(extents: DataFrame) -> DataFrame:
     """grp, member, shared_bytes: how much of each member some other member of the group holds too, encoded extents included."""
-    ranges = merged(extents)
-    swept = _swept(ranges)
+    ranges = stored(merged(extents), "merged")
+    swept = stored(_swept(ranges), "swept")
     at = lambda name: swept.select(*_PLACE, F.col("coord").alias(name), F.col("held").alias(f"{name}_held"))
     sums = ranges.join(at("start"), [*_PLACE, "start"]).join(at("end"), [*_PLACE, "end"])
     direct = sums.select("grp", "member", (F.col("end_held") - F.col("start_held")).alias("n"))
