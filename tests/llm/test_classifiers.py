@@ -21,7 +21,7 @@ def labelled(seed=4, n=240):
 
 def test_quality_on_held_out_rows(spark):
     docs, labels = labelled()
-    df = clashing(spark.createDataFrame(docs + ODD, SCHEMA)).drop("score")
+    df = clashing(spark.createDataFrame(docs + ODD, SCHEMA))
     model = quality.fit(df, spark.createDataFrame(labels, LABELS), queries._remainder(4) != 2)
     got = quality.score(df, model).select("doc_id", "score").collect()
     assert len(got) == len(docs) + len(ODD) and all(0 <= r["score"] <= 1 for r in got)

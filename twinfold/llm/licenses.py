@@ -132,9 +132,9 @@ def find(words: list, template: list, coverage: float = COVERAGE) -> list[tuple[
         if matched >= need:
             found.append((matched / len(template), a + start, a + end))
             stack += [(a, a + start), (a + end, b)]
-        elif b - a > 3 * len(template):  # words that repeat over a wide region are no anchors: look at stretches, half over half
-            width = 2 * len(template)
-            stack += [(i, min(b, i + width)) for i in range(a, b, width // 2) if i + width // 2 < b or i == a][::-1]
+        elif b - a > 3 * len(template):  # words that repeat over a wide region are no anchors: look at stretches
+            step = len(template)  # any stretch of two template lengths is whole in one of these
+            stack += [(i, min(b, i + 3 * step)) for i in range(a, b - 2 * step, step)][::-1]
     out: list[tuple[float, int, int]] = []
     for x in sorted(found, key=lambda x: (-x[0], x[1])):
         if all(x[2] <= y[1] or y[2] <= x[1] for y in out):

@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
     return Model(model.good, model.bad, w.tolist())
 
 
-def _score(batches: Iterator[pa.RecordBatch], held: object) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], held: object, name: str) -> Iterator[pa.RecordBatch]:
     model = held.value
     compressor = Compressor(model) if model.good else None
     for batch in slices(batches, "text", 8 << 20):
@@ -127,13 +127,11 @@ def _score(batches: Iterator[pa.RecordBatch], held: object) -> Iterator[pa.Recor
         else:
             odds = _terms([compressor.features(raw[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]) @ np.array(model.weights)
         scores = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "_score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, name])
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs with a column `name`, the score of its column text: 0 to 1, higher where quality 1 is likelier."""
+    """docs with a column `name` at its end, the score of its column text: 0 to 1, higher where quality 1 is likelier. An older column of that name goes."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    if name in docs.columns:
-        raise ValueError(f"docs has a column {name} already")
-    schema = docs.withColumn("_score", F.lit(0.0)).schema
-    return docs.mapInArrow(lambda it: _score(it, held), schema).withColumnRenamed("_score", name)
+    rest = docs.drop(name)
+    return rest.mapInArrow(lambda it: _score(it, held, name), rest.withColumn(name, F.lit(0.0)).schema)
