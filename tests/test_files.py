@@ -154,3 +154,22 @@ def test_running_groups(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r["sha256"], r["files"], r["keeper"]) for r in spark.table("running").collect()} == {("s", 2, "/a"), ("t", 1, "/c")}
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import io
+    import sys
+
+    from twinfold import __main__ as cli
+
+    make(tmp_path, {"a": "same", "b": "same", "c": "same"})
+    monkeypatch.setattr(cli, "local_session", lambda cores: spark)
+    assert cli.main(["find", str(tmp_path)]) == 0
+    assert "Duplicate: '" in capsys.readouterr().out
+    assert cli.main(["find", str(tmp_path / "none*")]) == 1
+    assert cli.main(["dedupe", "-d", "-C", str(tmp_path)]) == 1
+    with pytest.raises(SystemExit):
+        cli.main(["dedupe", str(tmp_path)])
+    monkeypatch.setattr(sys, "stdin", io.StringIO("2\n"))
+    assert cli.main(["dedupe", "-d", "-i", str(tmp_path)]) == 0
+    assert os.listdir(tmp_path) == ["b"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,13 +84,18 @@ def _finish(files: DataFrame, scanned: DataFrame, outcomes: DataFrame, bad: Data
     return Run(files, outcomes, found, summary, problems)
 
 
-def _run(spark: SparkSession, options: Options, action: str, choices: DataFrame | None) -> Run:
+Choices = DataFrame | Callable[[DataFrame], DataFrame] | None
+
+
+def _run(spark: SparkSession, options: Options, action: str, choices: Choices) -> Run:
     ship(spark)
     files, scanned, problems = _scanned(spark, options)
     held, bad = _digested(files)
     held = stored(_compressed(held, options.prefer_compressed and action == S.COW), "members")
     order = duplicates.keeper_order(options.prefer_compressed and action == S.COW)
     aliases = action == S.REPORT and not options.skip_hardlinked
+    if callable(choices):
+        choices = choices(duplicates.ranked(duplicates.collapse_aliases(held, order), order))
     pairs = duplicates.duplicate_pairs(held, order, aliases) if choices is None else duplicates.chosen_pairs(held, choices, order, aliases)
     state = held.select("path", F.lit(True).alias("fresh"), "read_only")
     outcomes = stored(decisions.decide(pairs, state, action, options.skip_hardlinked, options.include_readonly), "outcomes")
@@ -98,13 +104,15 @@ def _run(spark: SparkSession, options: Options, action: str, choices: DataFrame
     return _finish(files, scanned, outcomes, bad, problems)
 
 
-def find(spark: SparkSession, options: Options, choices: DataFrame | None = None) -> Run:
-    """Report duplicates; with skip_hardlinked, names of one file are no duplicates."""
+def find(spark: SparkSession, options: Options, choices: Choices = None) -> Run:
+    """Report duplicates; with skip_hardlinked, names of one file are no duplicates.
+
+    choices (sha256, size, keep_path) name other keepers; a function gets the ranked members and returns them."""
     return _run(spark, options, S.REPORT, choices)
 
 
-def dedupe(spark: SparkSession, options: Options, action: str, choices: DataFrame | None = None) -> Run:
-    """Delete, hard-link or clone the victims; choices (sha256, size, keep_path) name other keepers."""
+def dedupe(spark: SparkSession, options: Options, action: str, choices: Choices = None) -> Run:
+    """Delete, hard-link or clone the victims; choices as in find()."""
     if action not in (S.DELETE, S.HARDLINK, S.COW):
         raise ValueError("exactly one of delete, hardlink and cow is needed")
     if options.prefer_compressed and action != S.COW:
