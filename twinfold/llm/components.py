@@ -14,6 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     A step rewrites edges so that nodes point to ever smaller ones; the number of steps grows with the logarithm
     of the longest path. Each step's table goes to the shared folder. No edges give no rows."""
     current = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    known = _digest(current)
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: greater neighbours of u point to the least node near u.
@@ -25,12 +26,12 @@ def components(edges: DataFrame) -> DataFrame:
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         small = stored(small, "edges")
-        if _same(current, small):
+        found = _digest(small)
+        if found == known:
             return small.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(small.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        current = small
+        current, known = small, found
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two tables of distinct edges are equal, by their counts and the sums of their hashes."""
-    digest = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")]
-    return a.agg(*digest).first() == b.agg(*digest).first()
+def _digest(edges: DataFrame) -> tuple:
+    """The count of a table of distinct edges and the sum of their hashes, which tell whether a step changed it."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
