@@ -48,7 +48,7 @@ def running_sum(rows: DataFrame, keys: list[str], order: str, value: Column, nam
     dealt = stored(rows.withColumn("_value", value).repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()), "ranges")
     totals = dealt.groupBy("_range", *keys).agg(F.sum("_value").alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a group
-    bases = stored(totals.select("_range", *keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base")), "bases")
+    bases = totals.select("_range", *keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base"))
     within = Window.partitionBy("_range", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     summed = dealt.withColumn("_within", F.sum("_value").over(within)).join(bases, ["_range", *keys])
     return summed.withColumn(name, F.col("_base") + F.col("_within")).select(*rows.columns, name)
