@@ -1,10 +1,12 @@
 """Hidden Markov language model: Baum-Welch counts summed over partitions, exact scaled forward scores.
 
 The corpus is encoded once into shared files: a shard is a run of whole documents of at most `shard_bytes` of text,
-one row with its own vocabulary, its words' codes and its training counts. Everything after works on codes.
+one row with its own vocabulary, its words' classes and codes, and its training counts. Everything after works on
+codes.
 
-* Word counts: shard vocabularies are exploded and summed by word, pre-aggregated; the table grows with the corpus
-  and is never broadcast. Each shard then gets the counts of just its own words, by one join on the word.
+* Word counts: shard vocabularies are dealt out by word and summed; the table grows with the corpus and is never
+  broadcast. A word has one row a shard at most, however often it occurs, so no word is hot. The same shuffle sends
+  each shard the counts of just its own words back.
 * The model: hidden states emit word classes, and a class emits its words by their counts:
   p(text) = sum over state paths of prod p(state | state before) p(class | state) p(word | class). A word's class is its
   hash, one of `classes`, so that the parameters have a fixed size (states * classes numbers), which is what is
@@ -30,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinfold.llm.words import SPACED, lists, slices, split_words
@@ -47,9 +49,9 @@ SHARD_BYTES = 12 << 20
 #: Expected counts that the corpus-wide class distribution adds to every state.
 PRIOR = 2000.0
 #: Words whose forward and backward values are held at once.
-BATCH = 1 << 18
+BATCH = 1 << 17
 
-SHARDS = "shard string, doc_ids array<long>, held_out array<boolean>, sizes array<int>, words array<string>, counts array<int>, codes binary"
+SHARDS = "shard long, doc_ids array<long>, held_out array<boolean>, sizes array<int>, words array<string>, classes array<int>, counts array<int>, codes binary"
 
 
 @dataclass
@@ -66,7 +68,7 @@ def word_classes(words: list[bytes], classes: int) -> np.ndarray:
     return (np.fromiter((digest(w, 42) for w in words), np.uint64, len(words)) % np.uint64(classes)).astype(np.int32)
 
 
-def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int, classes: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
@@ -78,29 +80,29 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.
         one = [0, len(sizes)]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([f"{part}-{k}"]),
+                pa.array([(part << 20) + k]),
                 pa.ListArray.from_arrays(pa.array(one, pa.int32()), pa.concat_arrays([block.column(0)])),
                 lists(held, one, pa.bool_()),
                 lists(sizes.astype(np.int32), one, pa.int32()),
                 pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.large_string()).cast(pa.string())),
+                lists(word_classes(words.to_pylist(), classes), [0, len(words)], pa.int32()),
                 lists(counts.astype(np.int32), [0, len(words)], pa.int32()),
                 pa.array([codes.astype("<i4").tobytes()], pa.binary()),
             ],
-            names=["shard", "doc_ids", "held_out", "sizes", "words", "counts", "codes"],
+            names=["shard", "doc_ids", "held_out", "sizes", "words", "classes", "counts", "codes"],
         )
 
 
-def encode(docs: DataFrame, held_out: Column, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def encode(docs: DataFrame, held_out: Column, shard_bytes: int = SHARD_BYTES, classes: int = CLASSES) -> DataFrame:
     """The shards of (doc_id, text), written to the shared folder."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    return stored(rows.mapInArrow(lambda it: _shards(it, shard_bytes), SHARDS), "shards")
+    return stored(rows.mapInArrow(lambda it: _shards(it, shard_bytes, classes), SHARDS), "shards")
 
 
-def _opened(batch: pa.RecordBatch, k: int) -> tuple:
-    """ids (Arrow), held_out, sizes, words (bytes), codes of row k of a batch of shards."""
-    ids, held, sizes, words = (batch.column(c)[k].values for c in ("doc_ids", "held_out", "sizes", "words"))
-    codes = np.frombuffer(batch.column("codes")[k].as_py(), "<i4")
-    return ids, held.to_numpy(zero_copy_only=False), sizes.to_numpy().astype(np.int64), words.cast(pa.binary()).to_pylist(), codes
+def _opened(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
+    """held_out, sizes, word classes, codes of row k of a batch of shards."""
+    held, sizes, classes = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("held_out", "sizes", "classes"))
+    return held.astype(bool), sizes.astype(np.int64), classes, np.frombuffer(batch.column("codes")[k].as_py(), "<i4")
 
 
 def with_ends(classes: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,10 +201,9 @@ def _pass(batches: Iterator[pa.RecordBatch], held: object, run: int) -> Iterator
     sums, likelihood, any_rows = zeros(len(model.start), classes), 0.0, False
     for batch in batches:
         for k in range(batch.num_rows):
-            _, out, sizes, words, codes = _opened(batch, k)
-            own = word_classes(words, classes)[codes] if len(words) else codes
-            sequence, edges = with_ends(own, sizes, classes)
-            start, size = runs(edges, ~out.astype(bool), run)
+            out, sizes, own, codes = _opened(batch, k)
+            sequence, edges = with_ends(own[codes], sizes, classes)
+            start, size = runs(edges, ~out, run)
             if len(start):
                 likelihood += expected(sequence, start, size, model, sums)
                 any_rows = True
@@ -211,13 +212,14 @@ def _pass(batches: Iterator[pa.RecordBatch], held: object, run: int) -> Iterator
         cells = np.flatnonzero(flat)
         for at in range(0, len(cells), 1 << 16):
             part = cells[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(flat[part])], names=["cell", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(flat[part].astype(np.float32))], names=["cell", "value"])
 
 
 def baum_welch(shards: DataFrame, model: Model, run: int = RUN) -> tuple[Model, float]:
     """Expected counts of all training documents under the model (a fixed number of cells), and their log10 likelihood."""
     held = shards.sparkSession.sparkContext.broadcast(model)
-    cells = shards.mapInArrow(lambda it: _pass(it, held, run), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value"))
+    read = shards.select("held_out", "sizes", "classes", "codes")
+    cells = read.mapInArrow(lambda it: _pass(it, held, run), "cell int, value float").groupBy("cell").agg(F.sum("value").alias("value"))
     states, rows = len(model.start), len(model.emit)
     flat = np.zeros(states + states * states + rows * states + 1)
     found = cells.toArrow()
@@ -256,12 +258,11 @@ def _scored(batches: Iterator[pa.RecordBatch], held: object, total: int, distinc
     room = total + distinct + 1
     for batch in batches:
         for k in range(batch.num_rows):
-            ids, out, sizes, words, codes = _opened(batch, k)
-            count = np.zeros(len(words), np.int64)
+            out, sizes, own, codes = _opened(batch, k)
+            count = np.zeros(len(own), np.int64)
             pairs = batch.column("known")[k].values
             if pairs is not None and len(pairs):
                 count[pairs.field(0).to_numpy()] = pairs.field(1).to_numpy()
-            own = word_classes(words, classes) if len(words) else np.zeros(0, np.int32)
             base = np.log10((count + 1) / room)
             inner = np.log10((count + 1) / (class_tokens[own] + class_words[own] + 1))
             edge = np.concatenate([[0], np.cumsum(sizes)])
@@ -276,8 +277,8 @@ def _scored(batches: Iterator[pa.RecordBatch], held: object, total: int, distinc
             sequence, bounds = with_ends(own[codes], sizes, classes)
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids,
-                    pa.array(out.astype(bool)),
+                    batch.column("doc_ids")[k].values,
+                    pa.array(out),
                     pa.array(sizes + 1),
                     pa.array(summed((count > 0).astype(float)).astype(np.int64) + (ends > 0)),
                     pa.array(np.full(len(sizes), total)),
@@ -300,11 +301,14 @@ def score(
 ) -> DataFrame:
     """Train on the rows of (doc_id, text) where held_out is not true, and score all rows."""
     spark = docs.sparkSession
-    shards = encode(docs, held_out, shard_bytes)
-    each = shards.select("shard", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x")).select("shard", "place", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    counts = stored(each.filter("n > 0").groupBy("word").agg(F.sum("n").alias("count")), "counts")
+    shards = encode(docs, held_out, shard_bytes, classes)
+    slots = shards.select("shard", F.posexplode(F.arrays_zip("words", "classes", "counts")).alias("place", "x"))
+    slots = slots.select((F.shiftleft("shard", 32) + F.col("place")).alias("slot"), F.col("x.words").alias("word"), F.col("x.classes").alias("class"), F.col("x.counts").alias("n"))
+    by_word = Window.partitionBy("word")
+    counted = slots.select("slot", "class", "n", F.sum("n").over(by_word).alias("count"), F.row_number().over(by_word.orderBy("slot")).alias("k"))
+    counted = stored(counted.filter("count > 0").select("slot", "count", F.when(F.col("k") == 1, F.col("class")).alias("class")), "counts")
     ends = shards.select(F.explode("held_out").alias("h")).filter("NOT h").count()
-    table = counts.groupBy(F.pmod(F.xxhash64("word"), F.lit(classes)).alias("class")).agg(F.sum("count").alias("tokens"), F.count("*").alias("words")).toArrow()
+    table = counted.filter("class IS NOT NULL").groupBy("class").agg(F.sum("count").alias("tokens"), F.count("*").alias("words")).toArrow()  # a row a class
     class_tokens, class_words = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
     class_tokens[table.column("class").to_numpy()] = table.column("tokens").to_numpy()
     class_words[table.column("class").to_numpy()] = table.column("words").to_numpy()
@@ -312,15 +316,20 @@ def score(
     shares = np.append(class_tokens + class_words + 1, ends + 1).astype(float)
     shares /= shares.sum()
 
-    text = F.col("text").cast("string")
-    pick = docs.filter(~F.coalesce(held_out, F.lit(False)) & (F.length(text) <= START_CHARS)).select(F.xxhash64(F.col("doc_id"), text).alias("h"), text.alias("text"))
-    sample = [r["text"] for r in pick.orderBy("h").limit(start_docs).collect()]
-    model = first_model(sample, shares, states, START_PASSES, run)
+    model = first_model(start_texts(docs.filter(~F.coalesce(held_out, F.lit(False))), start_docs), shares, states, START_PASSES, run)
     for _ in range(passes):
         sums, _ = baum_welch(shards, model, run)
         model = maximised(sums, shares)
 
-    known = each.join(counts, "word").groupBy("shard").agg(F.collect_list(F.struct("place", F.col("count").cast("long").alias("count"))).alias("known"))
-    joined = shards.drop("counts").join(known, "shard", "left")
+    known = counted.groupBy(F.shiftright("slot", 32).alias("shard")).agg(F.collect_list(F.struct((F.col("slot").bitwiseAND((1 << 32) - 1)).alias("place"), "count")).alias("known"))
+    joined = shards.select("shard", "doc_ids", "held_out", "sizes", "classes", "codes").join(known, "shard", "left")
     held = spark.sparkContext.broadcast((model, class_tokens, class_words))
     return joined.mapInArrow(lambda it: _scored(it, held, total, distinct, ends), SCORES)
+
+
+def start_texts(docs: DataFrame, count: int) -> list[str]:
+    """The texts of the `count` smallest hashes: hashes first, so that no task sends texts that others beat."""
+    text = F.col("text").cast("string")
+    usable = docs.filter(F.length(text) <= START_CHARS).select(F.xxhash64(F.col("doc_id"), text).alias("h"), text.alias("text"))
+    least = [r["h"] for r in usable.select("h").orderBy("h").limit(count).collect()]
+    return [r["text"] for r in usable.filter(F.col("h") <= least[-1]).orderBy("h").limit(count).collect()] if least else []
