@@ -3,13 +3,14 @@
 A unit is a run of text at whose ends the tokenizer's own pre-tokenizer always cuts, so the ids of a text are
 the ids of its units in order. Units come from array arithmetic on the text buffer; only units that the worker
 has not met go through the library. Texts where the cut is not certain (Unicode white space, a special token's
-string) are encoded whole. The cache is bounded: it is emptied when it holds `cache_units` units.
+string) are encoded whole. The cache is bounded: when it holds `cache_units` units, those met in one block only go.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,11 @@ from twinfold.llm.words import text_buffer
 
 #: White space beyond ASCII, as UTF-8: U+0085 U+00A0 U+1680 U+2000-U+200A U+2028 U+2029 U+202F U+205F U+3000.
 UNICODE_SPACE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
-CACHE_UNITS = 1_500_000
+CACHE_UNITS = 600_000
+#: Whether a byte is an ASCII letter or digit, and whether it is other printable ASCII. Pre-tokenizers cut between the
+#: two, except at an apostrophe, which may begin a contraction.
+_LETTER = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+_SIGN = np.array([33 <= b <= 126 and b != 39 and not chr(b).isalnum() for b in range(256)])
 _ENCODERS: dict[tuple, UnitEncoder] = {}
 
 
@@ -47,28 +52,45 @@ class UnitEncoder:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)
+        self.hits = np.zeros(1 << 14, np.int32)
         self.used = 0
 
-    def learn(self, units: list[str]) -> None:
+    def forget(self) -> None:
+        """Keep the units met in several blocks, unless they alone fill half the cache."""
+        names = np.array(list(self.known), object)
+        keep = np.flatnonzero(self.hits[: len(names)] > 1)
+        if len(keep) > self.cache_units // 2:
+            keep = keep[:0]
+        first, sizes = self.ends[keep], self.ends[keep + 1] - self.ends[keep]
+        to = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(first - to[:-1], sizes) + np.arange(to[-1])]
+        self.clear()
+        self.append(names[keep].tolist(), ids, sizes)
+
+    def append(self, units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         at = len(self.known)
-        coded = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-        found = [c.ids for c in coded]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(sizes.sum())
-        while self.used + total > len(self.ids):
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while at + len(units) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
+            self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
+        self.ids[self.used : self.used + len(ids)] = ids
         self.ends[at + 1 : at + 1 + len(units)] = self.used + np.cumsum(sizes)
-        self.used += total
+        self.used += len(ids)
         self.known.update(zip(units, range(at, at + len(units)), strict=True))
 
+    def learn(self, units: list[str]) -> None:
+        found = [c.ids for c in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.append(units, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the units of all texts."""
         space = (data == 32) | ((data >= 9) & (data <= 13))
         heads = offsets[:-1][offsets[:-1] < offsets[1:]]
-        new = np.zeros(len(data), bool)
+        letter, sign = _LETTER[data], _SIGN[data]
+        turn = np.zeros(len(data), bool)
+        turn[1:] = letter[1:] & sign[:-1] | sign[1:] & letter[:-1]
         if self.leading_space:
             after = np.zeros(len(data), bool)  # whether the next byte, of the same text, is no white space
             after[:-1] = ~space[1:]
@@ -78,15 +100,17 @@ class UnitEncoder:
             before[heads] = False
             plain = np.zeros(len(data), bool)
             plain[1:] = data[:-1] == 32
-            new = (space & (~before | after)) | (~space & before & ~plain)
+            new = (space & (~before | after)) | (~space & before & ~plain) | turn
             new[heads] = True
             starts = np.flatnonzero(new)
             return starts, np.append(starts[1:], len(data))
-        new[:] = ~space
+        new = ~space
         new[1:] &= space[:-1]
+        new |= turn
         new[heads] |= ~space[heads]
         last = ~space
         last[:-1] &= space[1:]
+        last[:-1] |= turn[1:]
         tails = offsets[1:][offsets[:-1] < offsets[1:]] - 1
         last[tails] |= ~space[tails]
         return np.flatnonzero(new), np.flatnonzero(last) + 1
@@ -108,12 +132,14 @@ class UnitEncoder:
         units = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(kept)]).dictionary_encode()
         names = units.dictionary.to_pylist()
         if len(self.known) + len(names) > self.cache_units and self.known:
-            self.clear()
+            self.forget()
         fresh = [u for u in names if u not in self.known]
         if fresh:
             self.learn(fresh)
         known = self.known
-        slots = np.fromiter((known[u] for u in names), np.int64, len(names))[units.indices.to_numpy()]
+        own = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+        self.hits[own] += 1
+        slots = own[units.indices.to_numpy()]
         first = self.ends[slots]
         sizes = self.ends[slots + 1] - first
         to = np.concatenate([[0], np.cumsum(sizes)])
