@@ -99,3 +99,23 @@ def test_neighbours_share_rare_words():
     assert index.neighbours(0, np.array([False, True, True, True, True]))[0] == 2
     assert index.neighbours(1, np.ones(5, bool))[:2].tolist() == [1, 3]
     assert 2 not in index.neighbours(0, np.array([False, True, False, True, True])).tolist()
+
+
+def by_row(pieces):
+    """Sequences as sets of pieces, whatever their order."""
+    return sorted(tuple(r) for r in pieces.collect())
+
+
+def test_packing_finds_neighbours_anywhere(spark):
+    """Related texts lie in different partitions and shards; splits and order of rows change nothing."""
+    rng = random.Random(3)
+    names = ["".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(40)]
+    own = [(i, " ".join(rng.choice(names[4 * (i % 10) : 4 * (i % 10) + 4]) for _ in range(14)) + " the of") for i in range(120)]
+    whole = packing.pack(spark.createDataFrame(own, SCHEMA).coalesce(1), WORDS, window=128)
+    split = packing.pack(spark.createDataFrame(own[::-1], SCHEMA).repartition(5), WORDS, window=128, shard_bytes=300, top=3)
+    assert by_row(whole) == by_row(split)
+    sequences = {}
+    for r in split.collect():
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["doc_id"]))
+    related = [x[0][1] % 10 == x[1][1] % 10 for x in map(sorted, sequences.values()) if len(x) > 1]
+    assert len(related) > 15 and sum(related) / len(related) > 0.7

@@ -35,6 +35,11 @@ def encoder(path: str, leading_space: bool, cache_units: int = CACHE_UNITS) -> U
     return _ENCODERS[key]
 
 
+def forget_encoders() -> None:
+    """Free what this worker's encoders hold, in steps that encode nothing."""
+    _ENCODERS.clear()
+
+
 class UnitEncoder:
     """leading_space: a word's unit holds the one space before it (byte-level vocabularies), else white space is dropped."""
 

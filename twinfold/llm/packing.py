@@ -1,34 +1,50 @@
-"""Lexical retrieval packing: neighbours from a sharded BM25 index greedily fill each seed document's window.
+"""Lexical retrieval packing: BM25 neighbours from all documents greedily fill each seed document's window.
 
-Every task reads its own rows and cuts them into shards of at most `shard_bytes` of text. A shard is encoded,
-indexed (postings of its distinct words with BM25 weights) and packed where it is read, so nothing is shuffled
-and no group, source or set of copies meets in one task. Packing a shard: the first unused document is the seed;
-its `query_terms` most selective words are looked up, and the unused documents with the highest BM25 sums follow
-it, best first, then unused documents in order when retrieval finds no more. A document that does not fit is cut,
-and its rest seeds the next window, so all windows but a shard's last are full; the last is cut at powers of two,
-which need no padding. Sequences never span shards.
+The corpus is encoded once into shared files: a shard is a run of whole documents of at most `shard_bytes` of text, one
+row with its ids and postings. Document frequencies and the mean length are counted over all documents, and every seed
+is looked up in every shard with all its words, so that shards, partitions and the order of rows change no result.
+
+* Packing goes on in chains of about `ROUNDS` windows, all of which advance by one window a round. A chain's seed is the
+  rest of the document that its last window cut, or else the first unused document; the unused documents with the
+  highest BM25 sums follow it, best first, then unused documents in order when retrieval finds no more. In a round,
+  earlier chains choose first. Windows are full but for a chain's last, which is cut at powers of two and needs no padding.
+* Documents are in order of a hash of doc_id and text; ties in retrieval go to the earlier one. Weights are whole units
+  of 2^-16, so that sums are exact in any order.
+* A round asks the shards for the `TOP` best of each seed; where earlier chains took all of these, the seed asks again.
+  This bounds what is sent, not what is found. Every round reads the postings of all unused documents for every chain,
+  so the work grows with the square of the corpus. The driver holds 12 bytes and a bit a document.
 
 Defined results: a null or empty text is the end id alone; every row is packed, repeated rows and null doc_ids
-too; ties in retrieval go to the earlier row; a text of any length is cut over as many windows as it needs; no
-rows give no pieces; other columns of the input are ignored, whatever their names.
+too; a text of any length is cut over as many windows as it needs; no rows give no pieces; other columns of the input
+are ignored, whatever their names. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinfold.llm.bpe import CACHE_UNITS, encoder, with_end
-from twinfold.llm.words import SPACED, slices, split_words
+from twinfold.llm.bpe import CACHE_UNITS, encoder, forget_encoders, with_end
+from twinfold.llm.words import SPACED, hash_words, slices, split_words
+from twinfold.session import shared_path, stored
 
 SHARD_BYTES = 8 << 20
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
+#: Windows of a chain, about.
+ROUNDS = 16
+#: Neighbours that a seed gets at once, and seeds that are looked up at once.
+TOP, SEEDS = 64, 8192
+#: Seeds whose scores of a shard are held at once.
+BLOCK = 64
+UNIT = 1 << 16
+#: Pieces that the driver holds before it writes them.
+HELD_PIECES = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -69,88 +85,307 @@ class Bm25Shard:
         return docs[np.lexsort((docs, -score))]
 
 
-def pack_shard(index: Bm25Shard, sizes: np.ndarray, window: int) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of all pieces of a shard."""
-    unused = np.ones(index.n, bool)
-    pieces, sequence, filled, scan = [], 0, 0, 0
-    open_from: list[int] = []  # pieces of the window being filled
+ENCODED = "shard long, doc_ids array<long>, keys binary, sizes binary, ids binary, lengths binary, words array<long>, df array<int>, docs binary, counts binary"
+
+
+def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, shard_bytes: int, cache_units: int) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    coder = encoder(vocabulary, False, cache_units)
+    for k, block in enumerate(slices(batches, "text", shard_bytes)):
+        ids, bounds = with_end(*coder.encode(block.column(1)), end)
+        codes, edges, words = split_words(block.column(1), SPACED)
+        n = block.num_rows
+        hashes, own = np.unique(hash_words(words).view(np.int64), return_inverse=True)
+        pairs, counts = np.unique(own[codes] * n + np.repeat(np.arange(n), np.diff(edges)), return_counts=True)
+        word, doc = np.divmod(pairs, n)
+        binary = lambda values, kind: pa.array([values.astype(kind).tobytes()], pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([(part << 20) + k]),
+                pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.concat_arrays([block.column(0)])),
+                binary(block.column(2).to_numpy(), "<i8"),
+                binary(np.diff(bounds), "<i8"),
+                binary(ids, "<u4"),
+                binary(np.diff(edges), "<i8"),
+                pa.ListArray.from_arrays(pa.array([0, len(hashes)], pa.int32()), pa.array(hashes)),
+                pa.ListArray.from_arrays(pa.array([0, len(hashes)], pa.int32()), pa.array(np.bincount(word, minlength=len(hashes)).astype(np.int32))),
+                binary(doc, "<i4"),
+                binary(counts, "<i4"),
+            ],
+            names=["shard", "doc_ids", "keys", "sizes", "ids", "lengths", "words", "df", "docs", "counts"],
+        )
+
+
+INDEX = "shard long, keys binary, words binary, first binary, docs binary, weights binary"
+
+
+def _weighed(batches: Iterator[pa.RecordBatch], n: int, mean: float) -> Iterator[pa.RecordBatch]:
+    """The postings of words that two documents or more hold, with their BM25 weights in units."""
+    forget_encoders()
+    for batch in batches:
+        for k in range(batch.num_rows):
+            df = batch.column("df")[k].values.to_numpy()
+            lengths, docs, counts = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in (("lengths", "<i8"), ("docs", "<i4"), ("counts", "<i4")))
+            total, pairs = np.zeros(len(df), np.int64), batch.column("known")[k].values
+            if pairs is not None and len(pairs):
+                total[pairs.field(0).to_numpy()] = pairs.field(1).to_numpy()
+            keep = total > 1
+            word = np.repeat(np.arange(len(df)), df)
+            held = keep[word]
+            word, docs, counts = word[held], docs[held], counts[held]
+            idf = np.log1p((n - total + 0.5) / (total + 0.5))
+            scale = K1 * (1 - B + B * lengths / max(1.0, mean))
+            weights = np.rint(idf[word] * counts * (K1 + 1) / (counts + scale[docs]) * UNIT)
+            words = batch.column("words")[k].values.to_numpy()[keep]
+            first = np.concatenate([[0], np.cumsum(df[keep], dtype=np.int64)])
+            out = [(words, "<i8"), (first, "<i8"), (docs, "<i4"), (weights, "<i4")]
+            yield pa.RecordBatch.from_arrays([batch.column("shard").slice(k, 1), batch.column("keys").slice(k, 1), *(pa.array([v.astype(t).tobytes()], pa.binary()) for v, t in out)], names=["shard", "keys", "words", "first", "docs", "weights"])
+
+
+def _opened(batch: pa.RecordBatch, k: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """shard, keys, words, first, docs, weights of row k of a batch of the index."""
+    return batch.column("shard")[k].as_py(), *(np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in (("keys", "<i8"), ("words", "<i8"), ("first", "<i8"), ("docs", "<i4"), ("weights", "<i4")))
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after the other."""
+    to = np.concatenate([[0], np.cumsum(size)])
+    return np.repeat(first - to[:-1], size) + np.arange(to[-1])
+
+
+def _queries(batches: Iterator[pa.RecordBatch], held: object, limit: int | None) -> Iterator[pa.RecordBatch]:
+    """seed (a document's number) and one row for each word of its query."""
+    forget_encoders()
+    base, seeds = held.value
+    for batch in batches:
+        for k in range(batch.num_rows):
+            shard, keys, words, first, docs, weights = _opened(batch, k)
+            here = seeds[(seeds >= base[shard]) & (seeds < base[shard] + len(keys))]
+            if not len(here):
+                continue
+            wanted = np.zeros(len(keys), bool)
+            wanted[here - base[shard]] = True
+            at = np.flatnonzero(wanted[docs])
+            word = np.searchsorted(first, at, "right") - 1
+            order = np.lexsort((words[word], -weights[at], docs[at]))
+            seed = docs[at][order]
+            if limit is not None:
+                order = order[np.arange(len(seed)) - np.searchsorted(seed, seed) < limit]
+            yield pa.RecordBatch.from_arrays([pa.array(docs[at][order].astype(np.int64) + base[shard]), pa.array(words[word[order]])], names=["seed", "word"])
+
+
+def _best(seed: np.ndarray, score: np.ndarray, key: np.ndarray, doc: np.ndarray, top: int) -> tuple[np.ndarray, ...]:
+    """The `top` best documents of each seed, best first, ties by key."""
+    order = np.lexsort((doc, key, -score, seed))
+    own = seed[order]
+    order = order[np.arange(len(own)) - np.searchsorted(own, own) < top]
+    return seed[order], score[order], key[order], doc[order]
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], held: object, top: int) -> Iterator[pa.RecordBatch]:
+    forget_encoders()
+    base, used, words_of, bounds = held.value
+    n_seeds = len(bounds) - 1
+    found: dict[int, tuple[np.ndarray, ...]] = {}
+    for batch in batches:
+        for k in range(batch.num_rows):
+            shard, keys, words, first, docs, weights = _opened(batch, k)
+            places = np.arange(base[shard], base[shard] + len(keys))
+            free = (used[places >> 3] >> (places & 7) & 1) == 0
+            n = int(free.sum())
+            if not n or not len(words):
+                continue
+            # Only unused documents, numbered anew; common words as rows of a matrix.
+            own, keep = np.cumsum(free) - 1, free[docs]
+            size = np.diff(np.concatenate([[0], np.cumsum(keep)])[first])
+            first = np.concatenate([[0], np.cumsum(size)])
+            docs, weights = own[docs[keep]], weights[keep].astype(np.float64)
+            keys, places = keys[free], places[free]
+            common = np.flatnonzero(size > max(16, n >> 4))
+            row = np.full(len(words), -1)
+            row[common] = np.arange(len(common))
+            matrix = np.zeros((len(common), n))
+            at = _ranges(first[common], size[common])
+            matrix[np.repeat(np.arange(len(common)), size[common]), docs[at]] = weights[at]
+            slot = np.minimum(np.searchsorted(words, words_of), len(words) - 1)
+            known = words[slot] == words_of
+            for a in range(0, n_seeds, BLOCK):
+                b = min(n_seeds, a + BLOCK)
+                here = np.flatnonzero(known[bounds[a] : bounds[b]]) + bounds[a]
+                seed, word = np.searchsorted(bounds, here, "right") - 1 - a, slot[here]
+                dense = row[word] >= 0
+                asked = np.zeros((b - a, len(common)))
+                asked[seed[dense], row[word[dense]]] = 1
+                seed, word = seed[~dense], word[~dense]
+                at = _ranges(first[word], size[word])
+                scores = np.bincount(np.repeat(seed, size[word]) * n + docs[at], weights[at], (b - a) * n).astype(np.float64, copy=False).reshape(b - a, n)  # integers if there are none
+                if len(common):
+                    scores += asked @ matrix
+                before = found.get(a)
+                least = np.ones(b - a)
+                if before is not None:
+                    n_before = np.bincount(before[0], minlength=b - a)
+                    full = n_before == top
+                    least[full] = before[1][np.cumsum(n_before)[full] - 1]
+                if n > top:  # no document below this shard's own last place can get in
+                    least = np.maximum(least, np.partition(scores, n - top, axis=1)[:, n - top]) if before is None else least
+                s, d = np.nonzero(scores >= least[:, None])
+                new = (s, scores[s, d], keys[d], places[d])
+                found[a] = _best(*(new if before is None else (np.concatenate(x) for x in zip(before, new, strict=True))), top)
+    for a, (seed, score, key, doc) in found.items():
+        if len(seed):
+            yield _block(a, seed, score, key, doc)
+
+
+NEAREST = "block long, seed binary, score binary, key binary, doc binary"
+
+
+def _block(a: int, seed: np.ndarray, score: np.ndarray, key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in ((seed, "<i8"), (score, "<f8"), (key, "<i8"), (doc, "<i8"))]
+    return pa.RecordBatch.from_arrays([pa.array([a]), *columns], names=["block", "seed", "score", "key", "doc"])
+
+
+def _merged(table: pa.Table, top: int) -> pa.Table:
+    """The best of all tasks for the seeds of a block."""
+    parts = [np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("seed", "<i8"), ("score", "<f8"), ("key", "<i8"), ("doc", "<i8"))]
+    return pa.Table.from_batches([_block(table.column("block")[0].as_py(), *_best(*parts, top))])
 
-    def place(doc: int, start: int) -> int:
-        """Fill the window with the document from `start` on; the place where it was cut, or its size."""
-        nonlocal filled
-        length = min(window - filled, int(sizes[doc]) - start)
-        open_from.append(len(pieces))
-        pieces.append((doc, start, length, sequence, filled))
-        filled += length
-        return start + length
 
+class Retrieval:
+    """Looks seeds up in all shards of an index; documents are numbers, those of a shard from base[shard] on."""
+
+    def __init__(self, index: DataFrame, base: dict[int, int], limit: int | None, top: int = TOP) -> None:
+        self.index, self.base, self.limit, self.top = index.coalesce(2 * index.sparkSession.sparkContext.defaultParallelism), base, limit, top
+
+    def neighbours(self, seeds: list[int], used: np.ndarray) -> list[np.ndarray]:
+        """For each seed (all different) its `top` best unused documents, best first; fewer are all that share a word."""
+        top, context = self.top, self.index.sparkSession.sparkContext
+        wanted, limit = np.array(seeds, np.int64), self.limit
+        held = context.broadcast((self.base, wanted))
+        asked = self.index.mapInArrow(lambda it: _queries(it, held, limit), "seed long, word long").toArrow()
+        number = np.argsort(wanted)[np.searchsorted(np.sort(wanted), asked.column("seed").to_numpy())]
+        order = np.argsort(number, kind="stable")
+        bounds = np.searchsorted(number[order], np.arange(len(seeds) + 1))
+        state = context.broadcast((self.base, np.packbits(used, bitorder="little"), asked.column("word").to_numpy()[order], bounds))
+        found = self.index.mapInArrow(lambda it: _nearest(it, state, top), NEAREST).groupBy("block").applyInArrow(lambda t: _merged(t, top), NEAREST).toArrow()
+        held.unpersist()
+        state.unpersist()
+        out = [np.zeros(0, np.int64)] * len(seeds)
+        for r in found.select(["block", "seed", "doc"]).to_pylist():
+            seed, doc = np.frombuffer(r["seed"], "<i8"), np.frombuffer(r["doc"], "<i8")
+            edges = np.searchsorted(seed, np.arange(BLOCK + 1))
+            for i in np.unique(seed).tolist():
+                out[r["block"] + i] = doc[edges[i] : edges[i + 1]]
+        return out
+
+
+@dataclass
+class Chain:
     rest: tuple[int, int] | None = None
-    while True:
-        if rest is None:
-            while scan < index.n and not unused[scan]:
-                scan += 1
-            if scan == index.n:
-                break
-            rest = (scan, 0)
-            unused[scan] = False
-        seed, start = rest
-        start = place(seed, start)
-        rest = (seed, start) if start < sizes[seed] else None
-        if filled < window:
-            for doc in index.neighbours(seed, unused).tolist():
-                unused[doc] = False
-                start = place(doc, 0)
-                rest = (doc, start) if start < sizes[doc] else None
-                if filled == window:
-                    break
-        while filled < window:  # retrieval found too few
-            while scan < index.n and not unused[scan]:
-                scan += 1
-            if scan == index.n:
+    filled: int = 0
+    open: list[tuple[int, int, int]] = field(default_factory=list)  # pieces of the window being filled
+
+
+class Packer:
+    """Fills the chains' windows; `emit` takes (document, start, length, sequence, offset)."""
+
+    def __init__(self, sizes: np.ndarray, order: np.ndarray, window: int, find, top: int, emit) -> None:
+        self.sizes, self.order, self.window, self.find, self.top, self.emit = sizes, order, window, find, top, emit
+        self.used, self.scan, self.sequence = np.zeros(len(sizes), bool), 0, 0
+
+    def unused(self) -> int | None:
+        while self.scan < len(self.order) and self.used[self.order[self.scan]]:
+            self.scan += 1
+        if self.scan == len(self.order):
+            return None
+        return int(self.order[self.scan])
+
+    def place(self, chain: Chain, doc: int, start: int) -> None:
+        """Fill the chain's window with the document from `start` on; full windows are done."""
+        self.used[doc] = True
+        size = int(self.sizes[doc])
+        while True:
+            length = min(self.window - chain.filled, size - start)
+            chain.open.append((doc, start, length))
+            chain.filled, start = chain.filled + length, start + length
+            if chain.filled == self.window:
+                self.close(chain, self.window)
+            if size - start < self.window or chain.filled:
                 break
-            unused[scan] = False
-            start = place(scan, 0)
-            rest = (scan, start) if start < sizes[scan] else None
-        if filled < window:
-            break
-        sequence, filled = sequence + 1, 0
-        open_from.clear()
-    if open_from and 0 < filled < window:  # the last window: cut at powers of two
-        tail = [pieces[i] for i in open_from]
-        del pieces[open_from[0] :]
-        room, at = 1 << (filled.bit_length() - 1), 0
-        left = filled
-        for doc, start, length, _, _ in tail:
+        chain.rest = (doc, start) if start < size else None
+
+    def close(self, chain: Chain, room: int) -> None:
+        """The open pieces as sequences of `room` ids, and of ever smaller powers of two if they are fewer."""
+        at, left = 0, chain.filled
+        for doc, start, length in chain.open:
             while length:
                 take = min(length, room - at)
-                pieces.append((doc, start, take, sequence, at))
+                self.emit((doc, start, take, self.sequence, at))
                 start, length, at = start + take, length - take, at + take
                 if at == room:
                     left -= room
-                    sequence, at = sequence + 1, 0
+                    self.sequence, at = self.sequence + 1, 0
                     room = 1 << (left.bit_length() - 1) if left else 0
-    return pieces
+        chain.filled = 0
+        chain.open.clear()
 
+    def round(self, chains: list[Chain]) -> None:
+        """One more window of each chain, or what is left of the documents."""
+        asking: list[tuple[Chain, int]] = []
+        for chain in chains:
+            if chain.rest is None:
+                doc = self.unused()
+                if doc is None:
+                    continue
+                chain.rest = (doc, 0)
+            doc, start = chain.rest
+            self.place(chain, doc, start)
+            if chain.filled:
+                asking.append((chain, doc))
+        while asking:
+            if self.unused() is None:
+                return
+            now = asking[:SEEDS]
+            for k, ((chain, _), best) in enumerate(zip(now, self.find([d for _, d in now], self.used), strict=True)):
+                for doc in best.tolist():
+                    if not self.used[doc]:
+                        self.place(chain, doc, 0)
+                        if not chain.filled:
+                            break
+                if chain.filled and len(best) == self.top:  # others took these: there may be more
+                    asking = asking[k:]
+                    break
+                while chain.filled and (doc := self.unused()) is not None:  # retrieval found too few
+                    self.place(chain, doc, 0)
+            else:
+                asking = asking[len(now) :]
 
-def _pack(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, window: int, shard_bytes: int, query_terms: int, cache_units: int) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+    def run(self, count: int) -> None:
+        chains = [Chain() for _ in range(count)]
+        while self.unused() is not None:
+            self.round(chains)
+        for chain in chains:
+            if chain.rest is not None:
+                self.place(chain, *chain.rest)
+            if chain.filled:
+                self.close(chain, 1 << (chain.filled.bit_length() - 1))
 
-    sequence = TaskContext.get().partitionId() << 40
-    coder = encoder(vocabulary, False, cache_units)
-    for shard in slices(batches, "text", shard_bytes):
-        ids, bounds = with_end(*coder.encode(shard.column(1)), end)
-        codes, edges, words = split_words(shard.column(1), SPACED)
-        sizes = np.diff(bounds)
-        pieces = np.array(pack_shard(Bm25Shard(codes, edges, len(words), query_terms), sizes, window), np.int64).reshape(-1, 5)
-        doc, start, length, own, offset = pieces.T
-        raw = memoryview(ids.astype("<u4")).cast("B")
-        first = bounds[doc] + start
-        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [shard.column(0).take(pa.array(doc)), *map(pa.array, (start, length, np.array(crc, np.int64), sizes[doc], sequence + own, offset))],
-            names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-        )
-        sequence += int(own[-1]) + 1 if len(own) else 0
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            sizes = np.frombuffer(batch.column("sizes")[k].as_py(), "<i8")
+            raw = memoryview(batch.column("ids")[k].as_py())
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            doc, start, length, sequence, offset = (batch.column("pieces")[k].values.field(i).to_numpy() for i in range(5))
+            first = bounds[doc] + start
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_ids")[k].values.take(pa.array(doc)), *map(pa.array, (start, length, np.array(crc, np.int64), sizes[doc], sequence, offset))],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+            )
 
 
 def pack(
@@ -159,11 +394,57 @@ def pack(
     end: int = 2,
     window: int = 4096,
     shard_bytes: int = SHARD_BYTES,
-    query_terms: int = QUERY_TERMS,
+    query_terms: int | None = None,
     cache_units: int = CACHE_UNITS,
+    top: int = TOP,
 ) -> DataFrame:
-    """Pack (doc_id, text) into sequences of at most `window` ids (a power of two); one row per piece."""
+    """Pack (doc_id, text) into sequences of at most `window` ids (a power of two); one row per piece.
+
+    A query has all words of its seed, or the `query_terms` most selective ones."""
     if window & (window - 1):
         raise ValueError("window must be a power of two")
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _pack(it, vocabulary, end, window, shard_bytes, query_terms, cache_units), PIECES)
+    rows = rows.withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    shards = stored(rows.mapInArrow(lambda it: _encode(it, vocabulary, end, shard_bytes, cache_units), ENCODED), "packing")
+    held = shards.select("shard", "keys", "sizes").toArrow().sort_by("shard")
+    keys, sizes = (np.frombuffer(b"".join(held.column(c).to_pylist()), "<i8") for c in ("keys", "sizes"))
+    n = len(keys)
+    if not n:
+        return spark.createDataFrame([], PIECES)
+    edges = np.concatenate([[0], np.cumsum([len(k) // 8 for k in held.column("keys").to_pylist()])])
+    numbers = held.column("shard").to_numpy()
+    base = dict(zip(numbers.tolist(), edges[:-1].tolist(), strict=True))
+
+    mean = _words(shards) / n
+    slots = shards.select("shard", F.posexplode(F.arrays_zip("words", "df")).alias("place", "x")).select("shard", "place", F.col("x.words").alias("word"), F.col("x.df").alias("df"))
+    known = slots.withColumn("total", F.sum("df").over(Window.partitionBy("word"))).filter("total > 1").groupBy("shard").agg(F.collect_list(F.struct("place", "total")).alias("known"))
+    joined = shards.select("shard", "keys", "lengths", "words", "df", "docs", "counts").join(known, "shard", "left")
+    index = stored(joined.mapInArrow(lambda it: _weighed(it, n, mean), INDEX), "postings")
+
+    path, pieces = shared_path(spark, "pieces"), []
+
+    def write() -> None:
+        doc, start, length, sequence, offset = np.array(pieces, np.int64).reshape(-1, 5).T
+        at = np.searchsorted(edges, doc, "right") - 1
+        columns = {"shard": numbers[at], "doc": doc - edges[at], "start": start, "length": length, "sequence": sequence, "offset": offset}
+        spark.createDataFrame(pa.table(columns)).write.mode("append").parquet(path)
+        pieces.clear()
+
+    def emit(piece: tuple[int, int, int, int, int]) -> None:
+        pieces.append(piece)
+        if len(pieces) == HELD_PIECES:
+            write()
+
+    find = Retrieval(index, base, query_terms, top).neighbours
+    Packer(sizes, np.argsort(keys, kind="stable"), window, find, top, emit).run(max(1, round(int(sizes.sum()) / (window * ROUNDS))))
+    if pieces:
+        write()
+    own = spark.read.parquet(path).groupBy("shard").agg(F.collect_list(F.struct("doc", "start", "length", "sequence", "offset")).alias("pieces"))
+    return shards.select("shard", "doc_ids", "sizes", "ids").join(own, "shard").mapInArrow(_cut, PIECES)
+
+
+def _words(shards: DataFrame) -> int:
+    """Words of all documents."""
+    total = lambda it: (pa.RecordBatch.from_arrays([pa.array([sum(int(np.frombuffer(x, "<i8").sum()) for x in b.column(0).to_pylist())])], names=["n"]) for b in it)
+    return shards.select("lengths").mapInArrow(total, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
