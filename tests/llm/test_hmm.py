@@ -123,3 +123,14 @@ def test_passes_never_lose_likelihood():
 def test_runs_cover_every_place():
     start, size = H.runs(np.array([0, 5, 5, 16]), np.array([True, True, True]), 4)
     assert sorted(x for a, n in zip(start.tolist(), size.tolist(), strict=True) for x in range(a, a + n)) == list(range(16)) and max(size) <= 4
+
+
+def test_counts_reach_shards_of_any_partition(spark, monkeypatch):
+    """Partitions 0, 2048 and 4096: no shard loses its counts or gets another's."""
+    from pyspark.sql import functions as F
+
+    encode, part = H.encode, F.shiftright("shard", 20)
+    monkeypatch.setattr(H, "encode", lambda *args: encode(*args).withColumn("shard", F.col("shard") + F.shiftleft(part * 2047, 20)))
+    df = spark.createDataFrame(rows(), SCHEMA).repartition(3)
+    assert H.encode(df, queries._remainder(7) == 2, H.SHARD_BYTES, 256).agg(F.max("shard")).first()[0] >= 4096 << 20
+    check(H.score(df, queries._remainder(7) == 2, states=2, classes=256, passes=1, start_docs=10).collect(), rows())

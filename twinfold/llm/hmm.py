@@ -303,10 +303,10 @@ def score(
     spark = docs.sparkSession
     shards = encode(docs, held_out, shard_bytes, classes)
     slots = shards.select("shard", F.posexplode(F.arrays_zip("words", "classes", "counts")).alias("place", "x"))
-    slots = slots.select((F.shiftleft("shard", 32) + F.col("place")).alias("slot"), F.col("x.words").alias("word"), F.col("x.classes").alias("class"), F.col("x.counts").alias("n"))
+    slots = slots.select("shard", "place", F.col("x.words").alias("word"), F.col("x.classes").alias("class"), F.col("x.counts").alias("n"))
     by_word = Window.partitionBy("word")
-    counted = slots.select("slot", "class", "n", F.sum("n").over(by_word).alias("count"), F.row_number().over(by_word.orderBy("slot")).alias("k"))
-    counted = stored(counted.filter("count > 0").select("slot", "count", F.when(F.col("k") == 1, F.col("class")).alias("class")), "counts")
+    counted = slots.select("shard", "place", "class", "n", F.sum("n").over(by_word).alias("count"), F.row_number().over(by_word.orderBy("shard", "place")).alias("k"))
+    counted = stored(counted.filter("count > 0").select("shard", "place", "count", F.when(F.col("k") == 1, F.col("class")).alias("class")), "counts")
     ends = shards.select(F.explode("held_out").alias("h")).filter("NOT h").count()
     table = counted.filter("class IS NOT NULL").groupBy("class").agg(F.sum("count").alias("tokens"), F.count("*").alias("words")).toArrow()  # a row a class
     class_tokens, class_words = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
@@ -321,7 +321,7 @@ def score(
         sums, _ = baum_welch(shards, model, run)
         model = maximised(sums, shares)
 
-    known = counted.groupBy(F.shiftright("slot", 32).alias("shard")).agg(F.collect_list(F.struct((F.col("slot").bitwiseAND((1 << 32) - 1)).alias("place"), "count")).alias("known"))
+    known = counted.groupBy("shard").agg(F.collect_list(F.struct("place", "count")).alias("known"))
     joined = shards.select("shard", "doc_ids", "held_out", "sizes", "classes", "codes").join(known, "shard", "left")
     held = spark.sparkContext.broadcast((model, class_tokens, class_words))
     return joined.mapInArrow(lambda it: _scored(it, held, total, distinct, ends), SCORES)
