@@ -88,6 +88,28 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_repeated_licenses(spark):
+    """Copies side by side or many times over, whole or edited, with words before and after."""
+    mit, notice = licenses.TEMPLATES["MIT"], "Released under the MIT License. "
+    edited = mit.replace("persons", "people").replace("without limitation", "with no limit")
+    texts = [
+        (f"The code: {notice}{notice}End", ["MIT notice"] * 2),
+        (f"Copyright 2020 A. {mit} Copyright 2021 B. {mit} end", ["MIT"] * 2),
+        (f"of the code {edited} of the rest {edited} the end of the text", ["MIT"] * 2),
+        ("the start " + f"{mit} file of the code " * 30 + "the end", ["MIT"] * 30),
+        ("the start " + f"{notice}of the " * 30 + "the end", ["MIT notice"] * 30),
+        ("of the software and to the License " * 200, []),
+    ]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], SCHEMA)).collect()}
+    for i, (text, names) in enumerate(texts):
+        assert [x["name"] for x in got[i]] == names
+        own = words(text)
+        for x in got[i]:
+            whole = words(licenses.TEMPLATES[x["name"]])
+            assert x["coverage"] >= 0.9 and (x["coverage"] < 1 or own[x["start"] : x["end"]] == whole)
+    assert all(x["coverage"] == 1 for i in (0, 1, 3, 4) for x in got[i])
+
+
 def test_regions_keep_every_dense_stretch():
     import numpy as np
 

@@ -4,7 +4,9 @@ Regions first: a license in a text is a stretch where template words are dense,
 `2 * len(template)` words with at least `coverage * len(template)` template words can hold one; running sums over all
 words find them, whole texts, nothing skipped. In each region the words are aligned with the template: equal ends
 are matched, then words that occur once in both are anchors, the longest increasing subsequence of anchors is kept,
-and the gaps between them are aligned in the same way. Coverage is the share of template words in the densest
+and the gaps between them are aligned in the same way. Whole copies are taken out
+before; where the alignment finds too little, as with edited notices that stand twice in a region, windows that can
+hold a single copy are aligned. Coverage is the share of template words in the densest
 stretch of the alignment: the stretch with the most matched words of which at least `DENSITY` of its words match.
 
 Defined results: words are those of words.ALNUM; a null or empty text has no license; overlapping findings of
@@ -120,26 +122,79 @@ def regions(inside: np.ndarray, bounds: np.ndarray, width: int, need: int) -> li
     return out
 
 
+def exact(words: list, template: list) -> list[int]:
+    """Starts of copies of the whole template that do not overlap, from the left."""
+    times = Counter(template)
+    rarest = min(range(len(template)), key=lambda j: times[template[j]])
+    found: list[int] = []
+    for i, w in enumerate(words):
+        at = i - rarest
+        if w == template[rarest] and at >= (found[-1] + len(template) if found else 0) and words[at : at + len(template)] == template:
+            found.append(at)
+    return found
+
+
+def windows(words: list, template: list, need: float) -> list[tuple[int, int, int]]:
+    """(matched, start, end) of findings in windows that can hold a single copy, from the left.
+
+    A finding has at most len(template) / DENSITY words and begins and ends with words of the template, and no alignment
+    matches more words than the two have in common, repeats counted; so every window left out has no finding."""
+    wanted, width = Counter(template), int(len(template) / DENSITY + 1e-9)
+    found: list[tuple[int, int, int]] = []
+    held: Counter = Counter()  # of words[i:to]
+    i = to = common = 0
+    while i < len(words):
+        while to < min(len(words), i + width):
+            held[words[to]] += 1
+            common += held[words[to]] <= wanted[words[to]]
+            to += 1
+        step = 1
+        if common >= need and words[i] in wanted:
+            best = (0, 0, 0)
+            own: Counter = Counter()
+            shared = 0
+            for end in range(i + 1, to + 1):
+                w = words[end - 1]
+                own[w] += 1
+                shared += own[w] <= wanted[w]
+                if shared < need or w not in wanted:
+                    continue
+                matched, a, b = densest([p for p, _ in patience(words[i:end], template)])
+                if matched >= need and (matched, a - b) > (best[0], best[1] - best[2]):
+                    best = (matched, i + a, i + b)
+            if best[0]:
+                found.append(best)
+                step = best[2] - i
+        for w in words[i : i + step]:
+            common -= held[w] <= wanted[w]
+            held[w] -= 1
+        i += step
+    return found
+
+
 def find(words: list, template: list, coverage: float = COVERAGE) -> list[tuple[float, int, int]]:
-    """(coverage, start, end) of findings in a region; what lies before and after a finding is searched too."""
+    """(coverage, start, end) of findings in a region; what lies before and after a finding is searched too.
+
+    Whole copies are taken out first. Words of a notice that stands there twice are no anchors of the region, so where
+    its alignment finds too little, windows that can hold a single copy are searched."""
     found, stack = [], [(0, len(words))]
     need = coverage * len(template)
     while stack:
         a, b = stack.pop()
         if b - a < need:
             continue
+        if copies := exact(words[a:b], template):
+            found += [(1.0, a + i, a + i + len(template)) for i in copies]
+            edges = [0, *(x for i in copies for x in (i, i + len(template))), b - a]
+            stack += [(a + x, a + y) for x, y in zip(edges[::2], edges[1::2], strict=True)]
+            continue
         matched, start, end = densest([i for i, _ in patience(words[a:b], template)])
         if matched >= need:
             found.append((matched / len(template), a + start, a + end))
             stack += [(a, a + start), (a + end, b)]
-        elif b - a > 3 * len(template):  # words that repeat over a wide region are no anchors: look at stretches
-            step = len(template)  # any stretch of two template lengths is whole in one of these
-            stack += [(i, min(b, i + 3 * step)) for i in range(a, b - 2 * step, step)][::-1]
-    out: list[tuple[float, int, int]] = []
-    for x in sorted(found, key=lambda x: (-x[0], x[1])):
-        if all(x[2] <= y[1] or y[2] <= x[1] for y in out):
-            out.append(x)
-    return sorted(out, key=lambda x: x[1])
+        else:
+            found += [(n / len(template), a + i, a + j) for n, i, j in windows(words[a:b], template, need)]
+    return sorted(found, key=lambda x: x[1])
 
 
 SCANNED = "doc_id long, licenses array<struct<name:string,coverage:double,start:int,end:int>>"
