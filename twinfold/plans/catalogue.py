@@ -166,6 +166,19 @@ def weak_groups(spark, sf_dir):
     return duplicates.weak_candidates(_signed(spark, sf_dir)).groupBy("crc32", "sum32", "size").agg(F.count("*").alias("files"))
 
 
+_WHOLE_SQL = _INVENTORY + _FOLD_SQL % digests.WINDOW_BYTES + _WEAK
+
+
+@query("weak_signature_full", _WHOLE_SQL + " SELECT path, size, crc32, sum32 FROM weak")
+def weak_signature_full(spark, sf_dir):
+    return _signed(spark, sf_dir, digests.WINDOW_BYTES).select("path", "size", "crc32", "sum32")
+
+
+@query("weak_groups_full", _WHOLE_SQL + " SELECT crc32, sum32, size, count(*) AS files FROM weak GROUP BY ALL HAVING count(*) >= 2")
+def weak_groups_full(spark, sf_dir):
+    return duplicates.weak_candidates(_signed(spark, sf_dir, digests.WINDOW_BYTES)).groupBy("crc32", "sum32", "size").agg(F.count("*").alias("files"))
+
+
 @query("weak_collisions", _COLLIDING_SQL + " SELECT crc32, sum32, w.size, count(DISTINCT sha256) AS contents FROM weak w JOIN inv USING (path) GROUP BY ALL HAVING count(DISTINCT sha256) >= 2")
 def weak_collisions(spark, sf_dir):
     groups = _signed(spark, sf_dir, COLLIDING_WINDOW).groupBy("crc32", "sum32", "size").agg(F.countDistinct("sha256").alias("contents"))
