@@ -23,3 +23,13 @@ def test_weak_signatures_read_the_whole_window(spark, tmp_path):
     groups = {(r["crc32"], r["sum32"], r["size"], r["files"]) for r in QUERIES["weak_groups_full"](spark, str(tmp_path)).collect()}
     # Texts 3 and 4 differ beyond the window only.
     assert groups == {(*got[1], len(texts[1]), 2), (*got[3], len(texts[3]), 2)}
+
+
+def test_layouts_compare_all_extents(spark, tmp_path):
+    """Members 0 and 1 are equal; each later one differs from the one before in one thing beyond its first place."""
+    first = [(1, 9, 4), (2, 19, 5)]
+    members = [first, first, [(1, 9, 4), (2, 19, 6)], [(1, 9, 4), (2, 20, 6)], [(1, 9, 4), (5, 20, 6)], [(1, 9, 4), (6, 20, 6)], [(1, 12, 4), (6, 20, 6)], [(1, 12, 4)]]
+    rows = [(3, 8 * n + m, line, part, float(quantity)) for m, own in enumerate(members) for n, (line, part, quantity) in enumerate(own)]
+    spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r["left"], r["right"]): r["equal"] for r in QUERIES["layout_equal_full"](spark, str(tmp_path)).collect()}
+    assert got == {(m, m + 1): m == 0 for m in range(7)}

@@ -268,6 +268,12 @@ def extent_encoded_shared(spark, sf_dir):
     return extents.encoded_shared(tables.extents(spark, sf_dir))
 
 
+def _next_members(rows: DataFrame) -> DataFrame:
+    """grp, left, right: each member and the one of the next number."""
+    members = rows.select("grp", "member").distinct()
+    return members.select("grp", F.col("member").alias("left"), (F.col("member") + 1).alias("right")).join(members.select("grp", F.col("member").alias("right")), ["grp", "right"], "left_semi")
+
+
 @query(
     "layout_equal",
     _EXTENTS + """, small AS (SELECT grp, member, logical, physical % 3 + 1 AS physical FROM e WHERE logical <= 1)
@@ -277,9 +283,17 @@ SELECT a.grp, a.member AS "left", b.member AS "right", a.l = b.l AS equal FROM l
 def layout_equal(spark, sf_dir):
     flag = F.lit(False)
     rows = tables.extents(spark, sf_dir).filter("logical <= 1").select("grp", "member", "dev", "logical", (F.col("physical") % 3 + 1).alias("physical"), F.lit(1).cast("long").alias("length"), flag.alias("encoded"), flag.alias("opaque"))
-    members = rows.select("grp", "member").distinct()
-    pairs = members.select("grp", F.col("member").alias("left"), (F.col("member") + 1).alias("right")).join(members.select("grp", F.col("member").alias("right")), ["grp", "right"], "left_semi")
-    return extents.layouts_equal(rows, pairs)
+    return extents.layouts_equal(rows, _next_members(rows))
+
+
+@query(
+    "layout_equal_full",
+    _EXTENTS + """, lay AS (SELECT grp, member, list({'l': logical, 'p': physical, 'n': length, 'e': encoded, 'o': opaque} ORDER BY logical, physical, length, encoded, opaque) AS l FROM e GROUP BY grp, member)
+SELECT a.grp, a.member AS "left", b.member AS "right", a.l = b.l AS equal FROM lay a JOIN lay b ON a.grp = b.grp AND b.member = a.member + 1""",
+)
+def layout_equal_full(spark, sf_dir):
+    rows = tables.extents(spark, sf_dir)
+    return extents.layouts_equal(rows, _next_members(rows))
 
 
 @query("shared_flag_bytes", _EXTENTS + " SELECT grp, member, CAST(coalesce(sum(length) FILTER (shared), 0) AS BIGINT) AS flagged_bytes FROM e GROUP BY grp, member")
