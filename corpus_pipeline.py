@@ -3,17 +3,20 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents. Decisions take effect: rejected rows are gone.
 
-Rows are told apart by doc_id. A row with a null doc_id can be named by no decision, so the filters keep it.
+Each filter gives rows keys of its own, in the order of doc_id (null last), so that a decision hits the rows it is about
+and no others: repeated rows, rows that share a doc_id and rows without one are rows like others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.llm import decontamination, exact_dedup, near_join, packing, quality
-from twinfold.session import ship, shared_path
+from twinfold.session import ship, shared_path, stored
 
 
 def _labelled_for_training() -> Column:
@@ -21,9 +24,12 @@ def _labelled_for_training() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without the rejected ids. A sort-merge join at every size: lists of ids grow with the corpus."""
-    return docs.join(rejected.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+def _without(docs: DataFrame, rejected: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs without the rows that `rejected` picks from them, given keys as doc_id. A sort-merge join at every size: lists of keys grow with the corpus."""
+    order = (F.col("doc_id").asc_nulls_last(), F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = stored(docs.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    keys = rejected(rows.withColumn("doc_id", F.col("_row"))).select(F.col("doc_id").alias("_row"))
+    return rows.join(keys.hint("merge"), "_row", "left_anti").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,18 +40,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row that stays of each group of equal texts."""
-    return _without(docs, exact_dedup.exact_dedup(docs).filter("NOT kept"))
+    return _without(docs, lambda rows: exact_dedup.exact_dedup(rows).filter("NOT kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each group of near duplicates."""
-    return _without(docs, near_join.near_classes(docs).filter("doc_id <> class_id"))
+    return _without(docs, lambda rows: near_join.near_classes(rows).filter("doc_id <> class_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.filter(F.size("items") > 0))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, lambda rows: decontamination.decontaminate(rows, items).filter(F.size("spans") > 0))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,14 @@ def test_run_equals_the_stages(spark, tmp_path):
     corpus(spark, tmp_path)
     pieces = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in pieces.collect()} == {i for i in range(303) if i % 4 or i == 300} - {1, 301, 302}
+
+
+def test_decisions_hit_their_rows_only(spark, tmp_path):
+    """Repeated rows, shared and null doc_ids, and a benchmark row without an item_id."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    left = lambda stage, rows: sorted(map(repr, ((r["doc_id"], r["text"]) for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect())))
+    same = lambda got, want: got == sorted(map(repr, want))
+    assert same(left(corpus_pipeline.exact_stage, [(1, a), (1, a), (2, b), (3, b), (3, c), (None, b), (None, d)]), [(1, a), (2, b), (3, c), (None, d)])
+    assert same(left(corpus_pipeline.near_stage, [(1, a), (1, a), (2, b), (3, b + " x"), (3, c), (None, a + " x"), (None, d)]), [(1, a), (2, b), (3, c), (None, d)])
+    spark.createDataFrame([(None, a), (7, b)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert same(left(corpus_pipeline.decontamination_stage, [(1, a), (2, b), (2, c), (3, d), (None, b), (None, d)]), [(2, c), (3, d), (None, d)])
