@@ -1,391 +1,319 @@
-"""Lexical retrieval packing: BM25 neighbours from all documents greedily fill each seed document's window.
-
-The corpus is encoded once into shared files: a shard is a run of whole documents of at most `shard_bytes` of text, one
-row with its ids and postings. Document frequencies and the mean length are counted over all documents, and every seed
-is looked up in every shard with all its words, so that shards, partitions and the order of rows change no result.
-
-* Packing goes on in chains of about `ROUNDS` windows, all of which advance by one window a round. A chain's seed is the
-  rest of the document that its last window cut, or else the first unused document; the unused documents with the
-  highest BM25 sums follow it, best first, then unused documents in order when retrieval finds no more. In a round,
-  earlier chains choose first. Windows are full but for a chain's last, which is cut at powers of two and needs no padding.
-* Documents are in order of a hash of doc_id and text; ties in retrieval go to the earlier one. Weights are whole units
-  of 2^-16, so that sums are exact in any order.
-* A round asks the shards for the `TOP` best of each seed; where earlier chains took all of these, the seed asks again.
-  This bounds what is sent, not what is found. Every round reads the postings of all unused documents for every chain,
-  so the work grows with the square of the corpus. The driver holds 12 bytes and a bit a document.
-
-Defined results: a null or empty text is the end id alone; every row is packed, repeated rows and null doc_ids
-too; a text of any length is cut over as many windows as it needs; no rows give no pieces; other columns of the input
-are ignored, whatever their names. Words are told apart by 64-bit hashes.
+"""Lexical retrieval packing: BM25 neighbours greedily fill each seed document's window.
+
+The terms are the ids that are packed, so the statistics (document frequencies and mean length, counted over all
+documents) have the size of the vocabulary, which is what is broadcast. The index is sharded by topic:
+
+1. Documents are encoded once, into shared files of blocks.
+2. Each document gets a topic path: of its ids that occur in more than 1/FAN of all documents the one of the largest
+   BM25 weight, then of those in more than 1/FAN**2, and so on down to ids that two documents share. Range
+   partitioning and running sums put all documents in the order of their paths, and a shard is the run of documents that
+   starts in the same `shard_tokens` ids of that order. Documents of a topic are neighbours in it, wherever they were
+   read; the number of shards grows with the corpus, and a task's work does not.
+3. A shard is an inverted index with corpus-wide weights. Its windows are filled one after the other. The seed of a
+   window is the rest of the document that the last window cut, or else the first unused document. All its ids are the query,
+   and the unused documents of the shard with the highest BM25 sums follow it, best first, then unused documents in
+   order when no more share an id. Windows are full but for a shard's last, which is cut at powers of two, so there is no padding.
+
+A seed's neighbours are those of its own topic range, not of the whole corpus: looking each seed up in all postings takes
+work that grows with the square of the corpus. Within the shard, retrieval is exact: no query term, posting
+or neighbour is left out. Paths, shards and weights are functions of the documents alone, so that partitions, batches and the
+order of rows change nothing. Weights are whole units of 2^-16, so that sums are exact in any order.
+
+Defined results: ties go to the earlier document in topic order, then of the smaller hash of doc_id and text; a null or empty
+text is the end id alone; every row is packed, repeated rows and null doc_ids too; a text of any length lies in one
+shard and is cut over as many windows as it needs; sequence_id is the number of ids before the shard plus the sequence's
+place in it; no rows give no pieces; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.llm.bpe import CACHE_UNITS, encoder, forget_encoders, with_end
-from twinfold.llm.words import SPACED, hash_words, slices, split_words
-from twinfold.session import shared_path, stored
+from twinfold.llm.words import slices
+from twinfold.session import stored
 
-SHARD_BYTES = 8 << 20
+#: Text bytes of a block of encoded documents, and ids of a shard.
+BLOCK_BYTES = 4 << 20
+SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
-#: Windows of a chain, about.
-ROUNDS = 16
-#: Neighbours that a seed gets at once, and seeds that are looked up at once.
-TOP, SEEDS = 64, 8192
-#: Seeds whose scores of a shard are held at once.
-BLOCK = 64
 UNIT = 1 << 16
-#: Pieces that the driver holds before it writes them.
-HELD_PIECES = 1 << 20
+#: How much rarer the ids of a path's next level are.
+FAN = 32
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Statistics(NamedTuple):
+    """Of all documents: their number, their mean length, and how many hold each id; ends are not counted."""
+
+    docs: int
+    mean: float
+    df: np.ndarray
+
+    def weights(self, token: np.ndarray, count: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """BM25 weights, in units, of ids that occur `count` times in documents of the given length."""
+        idf = np.log1p((self.docs - self.df + 0.5) / (self.df + 0.5))
+        scale = K1 * (1 - B + B * length / max(1.0, self.mean))
+        return np.rint(idf[token] * count * (K1 + 1) / (count + scale) * UNIT).astype(np.int64)
+
+    def bands(self) -> list[tuple[int, int]]:
+        """(low, high) of each level of a path: ids of more than low and at most high documents."""
+        out, high = [], self.docs
+        while high >= 2:
+            out.append((max(1, high // FAN), high))
+            high //= FAN
+        return out or [(1, 1)]
+
+
+def term_counts(ids: np.ndarray, sizes: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, id, occurrences), by document, then id, of sequences that each close with an end, which is not counted."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    inner = np.ones(len(ids), bool)
+    inner[np.cumsum(sizes) - 1] = False
+    pairs, counts = np.unique(doc[inner] * vocabulary + ids[inner], return_counts=True)
+    return *np.divmod(pairs, vocabulary), counts
+
+
+def topic_paths(doc: np.ndarray, token: np.ndarray, weight: np.ndarray, n: int, known: Statistics) -> np.ndarray:
+    """A row a document: for each level the id of the largest weight plus one (ties: the smaller id), or 0."""
+    bands, vocabulary = known.bands(), len(known.df)
+    out = np.zeros((n, len(bands)), ">u4")
+    heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else doc
+    value, df = weight * vocabulary + (vocabulary - 1 - token), known.df[token]
+    for level, (low, high) in enumerate(bands):
+        if len(heads):
+            best = np.maximum.reduceat(np.where((df > low) & (df <= high), value, -1), heads)
+            out[doc[heads], level] = np.where(best >= 0, vocabulary - best % vocabulary, 0)
+    return out
+
+
 class Bm25Shard:
-    """An inverted index over one shard: for each word the documents that hold it and their BM25 weights."""
+    """An inverted index over (document, id, weight) postings in order of document: for each id the documents that hold it."""
 
-    def __init__(self, codes: np.ndarray, bounds: np.ndarray, n_words: int, query_terms: int, k1: float = K1, b: float = B) -> None:
-        n = len(bounds) - 1
-        sizes = np.diff(bounds)
-        pairs, counts = np.unique(codes.astype(np.int64) * n + np.repeat(np.arange(n), sizes), return_counts=True)
-        self.word, self.doc = np.divmod(pairs, n) if n else (pairs, pairs)
-        df = np.bincount(self.word, minlength=n_words)
-        self.first = np.concatenate([[0], np.cumsum(df)])
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        scale = k1 * (1 - b + b * sizes / max(1.0, sizes.mean() if n else 1.0))
-        self.weight = self.idf[self.word] * counts * (k1 + 1) / (counts + scale[self.doc])
-        # Each document's query: its words that some other document holds, the most selective first.
-        shared = np.flatnonzero(df[self.word] > 1)
-        order = shared[np.lexsort((-self.weight[shared], self.doc[shared]))]
-        edges = np.searchsorted(self.doc[order], np.arange(n + 1))
-        rank = np.arange(len(order)) - np.repeat(edges[:-1], np.diff(edges))
-        self.query = self.word[order[rank < query_terms]]
-        self.query_bounds = np.searchsorted(self.doc[order[rank < query_terms]], np.arange(n + 1))
-        self.n = n
+    def __init__(self, doc: np.ndarray, token: np.ndarray, weight: np.ndarray, n: int, vocabulary: int) -> None:
+        self.n, self.edges, self.terms = n, np.searchsorted(doc, np.arange(n + 1)), token
+        self.vocabulary, self.rows, self.weight = vocabulary, doc, weight
+        self.build(np.ones(n, bool))
+
+    def build(self, unused: np.ndarray) -> None:
+        """Postings of the unused documents only."""
+        held = np.flatnonzero(unused[self.rows])
+        held = held[np.argsort(self.terms[held], kind="stable")]
+        self.posted, self.posted_weight = self.rows[held], self.weight[held].astype(np.float64)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.terms[held], minlength=self.vocabulary))])
+        self.live = int(unused.sum())
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents with a positive BM25 sum for the seed's query, best first, ties by row."""
-        words = self.query[self.query_bounds[seed] : self.query_bounds[seed + 1]]
-        if not len(words):
-            return words
-        first, size = self.first[words], self.first[words + 1] - self.first[words]
+        """Unused documents that share an id with the seed, by their BM25 sums for all its ids, best first, ties in order."""
+        if 2 * int(unused.sum()) < self.live:
+            self.build(unused)
+        terms = self.terms[self.edges[seed] : self.edges[seed + 1]]
+        first, size = self.first[terms], self.first[terms + 1] - self.first[terms]
         to = np.concatenate([[0], np.cumsum(size)])
         at = np.repeat(first - to[:-1], size) + np.arange(to[-1])
-        docs, back = np.unique(self.doc[at], return_inverse=True)
-        score = np.bincount(back, self.weight[at])
-        keep = unused[docs]
-        docs, score = docs[keep], score[keep]
-        return docs[np.lexsort((docs, -score))]
+        score = np.bincount(self.posted[at], self.posted_weight[at], self.n)
+        found = np.flatnonzero((score > 0) & unused)
+        return found[np.argsort(-score[found], kind="stable")]
+
+
+class Packer:
+    """Fills windows with pieces (document, start, length, sequence, offset)."""
+
+    def __init__(self, sizes: np.ndarray, window: int) -> None:
+        self.sizes, self.window = sizes.tolist(), window
+        self.unused = np.ones(len(sizes), bool)
+        self.pieces: list[tuple[int, int, int, int, int]] = []
+        self.filled = self.sequence = 0
+        self.rest: tuple[int, int] | None = None
+
+    def place(self, doc: int, start: int) -> bool:
+        """Put the document from `start` on into the open window; whether that is full now."""
+        self.unused[doc] = False
+        length = min(self.window - self.filled, self.sizes[doc] - start)
+        self.pieces.append((doc, start, length, self.sequence, self.filled))
+        self.filled += length
+        self.rest = (doc, start + length) if start + length < self.sizes[doc] else None
+        if self.filled < self.window:
+            return False
+        self.filled, self.sequence = 0, self.sequence + 1
+        return True
+
+    def run(self, index: Bm25Shard) -> list[tuple[int, int, int, int, int]]:
+        head = 0  # all documents before it are used
+
+        def next_unused() -> int | None:
+            nonlocal head
+            while head < len(self.sizes) and not self.unused[head]:
+                head += 1
+            return head if head < len(self.sizes) else None
+
+        while self.rest is not None or next_unused() is not None:
+            seed, start = self.rest or (head, 0)
+            full = self.place(seed, start)
+            if not full and next_unused() is not None:
+                full = any(self.place(doc, 0) for doc in index.neighbours(seed, self.unused).tolist())
+            while not full and (doc := next_unused()) is not None:
+                full = self.place(doc, 0)
+        self.cut_last()
+        return self.pieces
+
+    def cut_last(self) -> None:
+        """Cut the open window into sequences of ever smaller powers of two."""
+        left, last = self.filled, self.sequence
+        opened = [p for p in self.pieces[-self.window :] if p[3] == last]
+        del self.pieces[len(self.pieces) - len(opened) :]
+        at, room = 0, 1 << (left.bit_length() - 1) if left else 0
+        for doc, start, length, _, _ in opened:
+            while length:
+                take = min(length, room - at)
+                self.pieces.append((doc, start, take, self.sequence, at))
+                start, length, at = start + take, length - take, at + take
+                if at == room:
+                    left -= room
+                    self.sequence, at, room = self.sequence + 1, 0, 1 << (left.bit_length() - 1) if left else 0
+
+
+BLOCKS = "part int, slot int, doc_ids array<long>, keys binary, sizes binary, ids binary, tokens array<int>, df array<int>, lengths long"
+TOPICS = "part int, slot int, place int, key long, size long, path binary"
+
 
+def _binary(values: np.ndarray, kind: str) -> pa.Array:
+    return pa.array([values.astype(kind).tobytes()], pa.binary())
 
-ENCODED = "shard long, doc_ids array<long>, keys binary, sizes binary, ids binary, lengths binary, words array<long>, df array<int>, docs binary, counts binary"
 
+def _listed(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
-def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, shard_bytes: int, cache_units: int) -> Iterator[pa.RecordBatch]:
+
+def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int, block_bytes: int, cache_units: int, kind: str, size: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
     coder = encoder(vocabulary, False, cache_units)
-    for k, block in enumerate(slices(batches, "text", shard_bytes)):
+    for slot, block in enumerate(slices(batches, "text", block_bytes)):
         ids, bounds = with_end(*coder.encode(block.column(1)), end)
-        codes, edges, words = split_words(block.column(1), SPACED)
-        n = block.num_rows
-        hashes, own = np.unique(hash_words(words).view(np.int64), return_inverse=True)
-        pairs, counts = np.unique(own[codes] * n + np.repeat(np.arange(n), np.diff(edges)), return_counts=True)
-        word, doc = np.divmod(pairs, n)
-        binary = lambda values, kind: pa.array([values.astype(kind).tobytes()], pa.binary())
+        sizes = np.diff(bounds)
+        df = np.bincount(term_counts(ids, sizes, size)[1], minlength=size)
+        held = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([(part << 20) + k]),
-                pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.concat_arrays([block.column(0)])),
-                binary(block.column(2).to_numpy(), "<i8"),
-                binary(np.diff(bounds), "<i8"),
-                binary(ids, "<u4"),
-                binary(np.diff(edges), "<i8"),
-                pa.ListArray.from_arrays(pa.array([0, len(hashes)], pa.int32()), pa.array(hashes)),
-                pa.ListArray.from_arrays(pa.array([0, len(hashes)], pa.int32()), pa.array(np.bincount(word, minlength=len(hashes)).astype(np.int32))),
-                binary(doc, "<i4"),
-                binary(counts, "<i4"),
+                pa.array([part], pa.int32()),
+                pa.array([slot], pa.int32()),
+                _listed(pa.concat_arrays([block.column(0)])),
+                _binary(block.column(2).to_numpy(), "<i8"),
+                _binary(sizes, "<i8"),
+                _binary(ids, kind),
+                _listed(pa.array(held.astype(np.int32))),
+                _listed(pa.array(df[held].astype(np.int32))),
+                pa.array([len(ids) - len(sizes)]),
             ],
-            names=["shard", "doc_ids", "keys", "sizes", "ids", "lengths", "words", "df", "docs", "counts"],
+            names=["part", "slot", "doc_ids", "keys", "sizes", "ids", "tokens", "df", "lengths"],
         )
 
 
-INDEX = "shard long, keys binary, words binary, first binary, docs binary, weights binary"
+def _opened(batch: pa.RecordBatch, k: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """sizes, ids of row k of a batch of blocks."""
+    return np.frombuffer(batch.column("sizes")[k].as_buffer(), "<i8"), np.frombuffer(batch.column("ids")[k].as_buffer(), kind)
 
 
-def _weighed(batches: Iterator[pa.RecordBatch], n: int, mean: float) -> Iterator[pa.RecordBatch]:
-    """The postings of words that two documents or more hold, with their BM25 weights in units."""
-    forget_encoders()
-    for batch in batches:
-        for k in range(batch.num_rows):
-            df = batch.column("df")[k].values.to_numpy()
-            lengths, docs, counts = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in (("lengths", "<i8"), ("docs", "<i4"), ("counts", "<i4")))
-            total, pairs = np.zeros(len(df), np.int64), batch.column("known")[k].values
-            if pairs is not None and len(pairs):
-                total[pairs.field(0).to_numpy()] = pairs.field(1).to_numpy()
-            keep = total > 1
-            word = np.repeat(np.arange(len(df)), df)
-            held = keep[word]
-            word, docs, counts = word[held], docs[held], counts[held]
-            idf = np.log1p((n - total + 0.5) / (total + 0.5))
-            scale = K1 * (1 - B + B * lengths / max(1.0, mean))
-            weights = np.rint(idf[word] * counts * (K1 + 1) / (counts + scale[docs]) * UNIT)
-            words = batch.column("words")[k].values.to_numpy()[keep]
-            first = np.concatenate([[0], np.cumsum(df[keep], dtype=np.int64)])
-            out = [(words, "<i8"), (first, "<i8"), (docs, "<i4"), (weights, "<i4")]
-            yield pa.RecordBatch.from_arrays([batch.column("shard").slice(k, 1), batch.column("keys").slice(k, 1), *(pa.array([v.astype(t).tobytes()], pa.binary()) for v, t in out)], names=["shard", "keys", "words", "first", "docs", "weights"])
-
-
-def _opened(batch: pa.RecordBatch, k: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """shard, keys, words, first, docs, weights of row k of a batch of the index."""
-    return batch.column("shard")[k].as_py(), *(np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in (("keys", "<i8"), ("words", "<i8"), ("first", "<i8"), ("docs", "<i4"), ("weights", "<i4")))
-
-
-def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The places of all ranges, one after the other."""
-    to = np.concatenate([[0], np.cumsum(size)])
-    return np.repeat(first - to[:-1], size) + np.arange(to[-1])
-
-
-def _queries(batches: Iterator[pa.RecordBatch], held: object, limit: int | None) -> Iterator[pa.RecordBatch]:
-    """seed (a document's number) and one row for each word of its query."""
+def _topics(batches: Iterator[pa.RecordBatch], held: object, kind: str) -> Iterator[pa.RecordBatch]:
     forget_encoders()
-    base, seeds = held.value
+    known = held.value
     for batch in batches:
         for k in range(batch.num_rows):
-            shard, keys, words, first, docs, weights = _opened(batch, k)
-            here = seeds[(seeds >= base[shard]) & (seeds < base[shard] + len(keys))]
-            if not len(here):
-                continue
-            wanted = np.zeros(len(keys), bool)
-            wanted[here - base[shard]] = True
-            at = np.flatnonzero(wanted[docs])
-            word = np.searchsorted(first, at, "right") - 1
-            order = np.lexsort((words[word], -weights[at], docs[at]))
-            seed = docs[at][order]
-            if limit is not None:
-                order = order[np.arange(len(seed)) - np.searchsorted(seed, seed) < limit]
-            yield pa.RecordBatch.from_arrays([pa.array(docs[at][order].astype(np.int64) + base[shard]), pa.array(words[word[order]])], names=["seed", "word"])
-
-
-def _best(seed: np.ndarray, score: np.ndarray, key: np.ndarray, doc: np.ndarray, top: int) -> tuple[np.ndarray, ...]:
-    """The `top` best documents of each seed, best first, ties by key."""
-    order = np.lexsort((doc, key, -score, seed))
-    own = seed[order]
-    order = order[np.arange(len(own)) - np.searchsorted(own, own) < top]
-    return seed[order], score[order], key[order], doc[order]
-
-
-def _nearest(batches: Iterator[pa.RecordBatch], held: object, top: int) -> Iterator[pa.RecordBatch]:
-    forget_encoders()
-    base, used, words_of, bounds = held.value
-    n_seeds = len(bounds) - 1
-    found: dict[int, tuple[np.ndarray, ...]] = {}
+            sizes, ids = _opened(batch, k, kind)
+            n = len(sizes)
+            doc, token, count = term_counts(ids, sizes, len(known.df))
+            paths = topic_paths(doc, token, known.weights(token, count, sizes[doc] - 1), n, known)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n, batch.column("part")[k].as_py(), np.int32)),
+                    pa.array(np.full(n, batch.column("slot")[k].as_py(), np.int32)),
+                    pa.array(np.arange(n, dtype=np.int32)),
+                    pa.array(np.frombuffer(batch.column("keys")[k].as_buffer(), "<i8")),
+                    pa.array(sizes),
+                    pa.array([p.tobytes() for p in paths], pa.binary()),
+                ],
+                names=["part", "slot", "place", "key", "size", "path"],
+            )
+
+
+def _before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the range's number and the ids before each document in it."""
+    from pyspark import TaskContext
+
+    number, total = TaskContext.get().partitionId(), 0
     for batch in batches:
-        for k in range(batch.num_rows):
-            shard, keys, words, first, docs, weights = _opened(batch, k)
-            places = np.arange(base[shard], base[shard] + len(keys))
-            free = (used[places >> 3] >> (places & 7) & 1) == 0
-            n = int(free.sum())
-            if not n or not len(words):
-                continue
-            # Only unused documents, numbered anew; common words as rows of a matrix.
-            own, keep = np.cumsum(free) - 1, free[docs]
-            size = np.diff(np.concatenate([[0], np.cumsum(keep)])[first])
-            first = np.concatenate([[0], np.cumsum(size)])
-            docs, weights = own[docs[keep]], weights[keep].astype(np.float64)
-            keys, places = keys[free], places[free]
-            common = np.flatnonzero(size > max(16, n >> 4))
-            row = np.full(len(words), -1)
-            row[common] = np.arange(len(common))
-            matrix = np.zeros((len(common), n))
-            at = _ranges(first[common], size[common])
-            matrix[np.repeat(np.arange(len(common)), size[common]), docs[at]] = weights[at]
-            slot = np.minimum(np.searchsorted(words, words_of), len(words) - 1)
-            known = words[slot] == words_of
-            for a in range(0, n_seeds, BLOCK):
-                b = min(n_seeds, a + BLOCK)
-                here = np.flatnonzero(known[bounds[a] : bounds[b]]) + bounds[a]
-                seed, word = np.searchsorted(bounds, here, "right") - 1 - a, slot[here]
-                dense = row[word] >= 0
-                asked = np.zeros((b - a, len(common)))
-                asked[seed[dense], row[word[dense]]] = 1
-                seed, word = seed[~dense], word[~dense]
-                at = _ranges(first[word], size[word])
-                scores = np.bincount(np.repeat(seed, size[word]) * n + docs[at], weights[at], (b - a) * n).astype(np.float64, copy=False).reshape(b - a, n)  # integers if there are none
-                if len(common):
-                    scores += asked @ matrix
-                before = found.get(a)
-                least = np.ones(b - a)
-                if before is not None:
-                    n_before = np.bincount(before[0], minlength=b - a)
-                    full = n_before == top
-                    least[full] = before[1][np.cumsum(n_before)[full] - 1]
-                if n > top:  # no document below this shard's own last place can get in
-                    least = np.maximum(least, np.partition(scores, n - top, axis=1)[:, n - top]) if before is None else least
-                s, d = np.nonzero(scores >= least[:, None])
-                new = (s, scores[s, d], keys[d], places[d])
-                found[a] = _best(*(new if before is None else (np.concatenate(x) for x in zip(before, new, strict=True))), top)
-    for a, (seed, score, key, doc) in found.items():
-        if len(seed):
-            yield _block(a, seed, score, key, doc)
-
-
-NEAREST = "block long, seed binary, score binary, key binary, doc binary"
-
-
-def _block(a: int, seed: np.ndarray, score: np.ndarray, key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in ((seed, "<i8"), (score, "<f8"), (key, "<i8"), (doc, "<i8"))]
-    return pa.RecordBatch.from_arrays([pa.array([a]), *columns], names=["block", "seed", "score", "key", "doc"])
-
-
-def _merged(table: pa.Table, top: int) -> pa.Table:
-    """The best of all tasks for the seeds of a block."""
-    parts = [np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("seed", "<i8"), ("score", "<f8"), ("key", "<i8"), ("doc", "<i8"))]
-    return pa.Table.from_batches([_block(table.column("block")[0].as_py(), *_best(*parts, top))])
-
-
-class Retrieval:
-    """Looks seeds up in all shards of an index; documents are numbers, those of a shard from base[shard] on."""
-
-    def __init__(self, index: DataFrame, base: dict[int, int], limit: int | None, top: int = TOP) -> None:
-        self.index, self.base, self.limit, self.top = index.coalesce(2 * index.sparkSession.sparkContext.defaultParallelism), base, limit, top
-
-    def neighbours(self, seeds: list[int], used: np.ndarray) -> list[np.ndarray]:
-        """For each seed (all different) its `top` best unused documents, best first; fewer are all that share a word."""
-        top, context = self.top, self.index.sparkSession.sparkContext
-        wanted, limit = np.array(seeds, np.int64), self.limit
-        held = context.broadcast((self.base, wanted))
-        asked = self.index.mapInArrow(lambda it: _queries(it, held, limit), "seed long, word long").toArrow()
-        number = np.argsort(wanted)[np.searchsorted(np.sort(wanted), asked.column("seed").to_numpy())]
-        order = np.argsort(number, kind="stable")
-        bounds = np.searchsorted(number[order], np.arange(len(seeds) + 1))
-        state = context.broadcast((self.base, np.packbits(used, bitorder="little"), asked.column("word").to_numpy()[order], bounds))
-        found = self.index.mapInArrow(lambda it: _nearest(it, state, top), NEAREST).groupBy("block").applyInArrow(lambda t: _merged(t, top), NEAREST).toArrow()
-        held.unpersist()
-        state.unpersist()
-        out = [np.zeros(0, np.int64)] * len(seeds)
-        for r in found.select(["block", "seed", "doc"]).to_pylist():
-            seed, doc = np.frombuffer(r["seed"], "<i8"), np.frombuffer(r["doc"], "<i8")
-            edges = np.searchsorted(seed, np.arange(BLOCK + 1))
-            for i in np.unique(seed).tolist():
-                out[r["block"] + i] = doc[edges[i] : edges[i + 1]]
-        return out
-
-
-@dataclass
-class Chain:
-    rest: tuple[int, int] | None = None
-    filled: int = 0
-    open: list[tuple[int, int, int]] = field(default_factory=list)  # pieces of the window being filled
+        ends = total + np.cumsum(batch.column("size").to_numpy())
+        start = np.concatenate([[total], ends])[: batch.num_rows]
+        total = int(ends[-1]) if len(ends) else total
+        columns = [batch.column(c) for c in ("part", "slot", "place", "size")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(batch.num_rows, number, np.int32)), pa.array(start, pa.int64())], names=["part", "slot", "place", "size", "range", "start"])
 
 
-class Packer:
-    """Fills the chains' windows; `emit` takes (document, start, length, sequence, offset)."""
-
-    def __init__(self, sizes: np.ndarray, order: np.ndarray, window: int, find, top: int, emit) -> None:
-        self.sizes, self.order, self.window, self.find, self.top, self.emit = sizes, order, window, find, top, emit
-        self.used, self.scan, self.sequence = np.zeros(len(sizes), bool), 0, 0
-
-    def unused(self) -> int | None:
-        while self.scan < len(self.order) and self.used[self.order[self.scan]]:
-            self.scan += 1
-        if self.scan == len(self.order):
-            return None
-        return int(self.order[self.scan])
-
-    def place(self, chain: Chain, doc: int, start: int) -> None:
-        """Fill the chain's window with the document from `start` on; full windows are done."""
-        self.used[doc] = True
-        size = int(self.sizes[doc])
-        while True:
-            length = min(self.window - chain.filled, size - start)
-            chain.open.append((doc, start, length))
-            chain.filled, start = chain.filled + length, start + length
-            if chain.filled == self.window:
-                self.close(chain, self.window)
-            if size - start < self.window or chain.filled:
-                break
-        chain.rest = (doc, start) if start < size else None
-
-    def close(self, chain: Chain, room: int) -> None:
-        """The open pieces as sequences of `room` ids, and of ever smaller powers of two if they are fewer."""
-        at, left = 0, chain.filled
-        for doc, start, length in chain.open:
-            while length:
-                take = min(length, room - at)
-                self.emit((doc, start, take, self.sequence, at))
-                start, length, at = start + take, length - take, at + take
-                if at == room:
-                    left -= room
-                    self.sequence, at = self.sequence + 1, 0
-                    room = 1 << (left.bit_length() - 1) if left else 0
-        chain.filled = 0
-        chain.open.clear()
-
-    def round(self, chains: list[Chain]) -> None:
-        """One more window of each chain, or what is left of the documents."""
-        asking: list[tuple[Chain, int]] = []
-        for chain in chains:
-            if chain.rest is None:
-                doc = self.unused()
-                if doc is None:
-                    continue
-                chain.rest = (doc, 0)
-            doc, start = chain.rest
-            self.place(chain, doc, start)
-            if chain.filled:
-                asking.append((chain, doc))
-        while asking:
-            if self.unused() is None:
-                return
-            now = asking[:SEEDS]
-            for k, ((chain, _), best) in enumerate(zip(now, self.find([d for _, d in now], self.used), strict=True)):
-                for doc in best.tolist():
-                    if not self.used[doc]:
-                        self.place(chain, doc, 0)
-                        if not chain.filled:
-                            break
-                if chain.filled and len(best) == self.top:  # others took these: there may be more
-                    asking = asking[k:]
-                    break
-                while chain.filled and (doc := self.unused()) is not None:  # retrieval found too few
-                    self.place(chain, doc, 0)
-            else:
-                asking = asking[len(now) :]
-
-    def run(self, count: int) -> None:
-        chains = [Chain() for _ in range(count)]
-        while self.unused() is not None:
-            self.round(chains)
-        for chain in chains:
-            if chain.rest is not None:
-                self.place(chain, *chain.rest)
-            if chain.filled:
-                self.close(chain, 1 << (chain.filled.bit_length() - 1))
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spread(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """One row a document, with its place in topic order."""
+    step = np.dtype(kind).itemsize
     for batch in batches:
         for k in range(batch.num_rows):
-            sizes = np.frombuffer(batch.column("sizes")[k].as_py(), "<i8")
-            raw = memoryview(batch.column("ids")[k].as_py())
-            bounds = np.concatenate([[0], np.cumsum(sizes)])
-            doc, start, length, sequence, offset = (batch.column("pieces")[k].values.field(i).to_numpy() for i in range(5))
-            first = bounds[doc] + start
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_ids")[k].values.take(pa.array(doc)), *map(pa.array, (start, length, np.array(crc, np.int64), sizes[doc], sequence, offset))],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-            )
+            sizes, ids = _opened(batch, k, kind)
+            found = batch.column("found")[k].values
+            order = np.argsort(found.field(0).to_numpy())
+            edges = np.concatenate([[0], np.cumsum(sizes * step)])
+            own = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(ids)])
+            start = found.field(1).to_numpy()[order]
+            shard = found.field(2).to_numpy()[order]
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(start), batch.column("doc_ids")[k].values, own.cast(pa.binary())], names=["shard", "start", "doc_id", "ids"])
+
+
+def _packed(table: pa.Table, held: object, window: int, kind: str) -> pa.Table:
+    known = held.value
+    table = table.sort_by("start")
+    ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), kind)
+    sizes = pc.binary_length(table.column("ids")).to_numpy().astype(np.int64) // np.dtype(kind).itemsize
+    doc, token, count = term_counts(ids, sizes, len(known.df))
+    index = Bm25Shard(doc, token, known.weights(token, count, sizes[doc] - 1), len(sizes), len(known.df))
+    pieces = Packer(sizes, window).run(index)
+    doc, start, length, sequence, offset = np.array(pieces, np.int64).reshape(-1, 5).T
+    raw = memoryview(ids.astype("<u4").tobytes())
+    first = np.concatenate([[0], np.cumsum(sizes)])[doc] + start
+    crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
+    before = table.column("start")[0].as_py()
+    columns = [table.column("doc_id").take(pa.array(doc)), *map(pa.array, (start, length, np.array(crc, np.int64), sizes[doc], before + sequence, offset))]
+    return pa.table(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+
+def statistics(blocks: DataFrame, size: int) -> Statistics:
+    """From one row a block and one an id: sums that the vocabulary bounds."""
+    docs, lengths = blocks.agg(F.coalesce(F.sum(F.size("doc_ids")), F.lit(0)), F.coalesce(F.sum("lengths"), F.lit(0))).first()
+    each = blocks.select(F.explode(F.arrays_zip("tokens", "df")).alias("x")).groupBy("x.tokens").agg(F.sum("x.df").alias("df")).toArrow()
+    df = np.zeros(size, np.int64)
+    df[each.column(0).to_numpy()] = each.column(1).to_numpy()
+    return Statistics(docs, lengths / max(1, docs), df)
+
+
+def topic_order(blocks: DataFrame, held: object, kind: str, shard_tokens: int) -> DataFrame:
+    """(part, slot, found): for each document of a block its place, the ids before it in topic order, and its shard."""
+    spark = blocks.sparkSession
+    topics = stored(blocks.select("part", "slot", "keys", "sizes", "ids").mapInArrow(lambda it: _topics(it, held, kind), TOPICS), "topics")
+    order = ["path", "key", "part", "slot", "place"]
+    ranges = stored(topics.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_before, "part int, slot int, place int, size long, range int, start long"), "order")
+    bases, total = [], 0
+    for row in ranges.groupBy("range").agg(F.sum("size").alias("size")).orderBy("range").collect():  # one row a range
+        bases.append((row["range"], total))
+        total += row["size"]
+    base = spark.createDataFrame(bases, "range int, base long")
+    start = F.col("base") + F.col("start")
+    found = F.struct("place", start.alias("start"), F.floor(start / shard_tokens).cast("long").alias("shard"))
+    return ranges.join(base, "range").groupBy("part", "slot").agg(F.collect_list(found).alias("found"))  # a block holds few documents
 
 
 def pack(
@@ -393,58 +321,23 @@ def pack(
     vocabulary: str,
     end: int = 2,
     window: int = 4096,
-    shard_bytes: int = SHARD_BYTES,
-    query_terms: int | None = None,
+    block_bytes: int = BLOCK_BYTES,
+    shard_tokens: int = SHARD_TOKENS,
     cache_units: int = CACHE_UNITS,
-    top: int = TOP,
 ) -> DataFrame:
-    """Pack (doc_id, text) into sequences of at most `window` ids (a power of two); one row per piece.
+    """Pack (doc_id, text) into sequences of at most `window` ids (a power of two); one row per piece."""
+    from tokenizers import Tokenizer
 
-    A query has all words of its seed, or the `query_terms` most selective ones."""
     if window & (window - 1):
         raise ValueError("window must be a power of two")
     spark = docs.sparkSession
+    size = max(end, *Tokenizer.from_file(vocabulary).get_vocab(with_added_tokens=True).values()) + 1
+    kind = "<u2" if size <= 1 << 16 else "<u4"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    shards = stored(rows.mapInArrow(lambda it: _encode(it, vocabulary, end, shard_bytes, cache_units), ENCODED), "packing")
-    held = shards.select("shard", "keys", "sizes").toArrow().sort_by("shard")
-    keys, sizes = (np.frombuffer(b"".join(held.column(c).to_pylist()), "<i8") for c in ("keys", "sizes"))
-    n = len(keys)
-    if not n:
-        return spark.createDataFrame([], PIECES)
-    edges = np.concatenate([[0], np.cumsum([len(k) // 8 for k in held.column("keys").to_pylist()])])
-    numbers = held.column("shard").to_numpy()
-    base = dict(zip(numbers.tolist(), edges[:-1].tolist(), strict=True))
-
-    mean = _words(shards) / n
-    slots = shards.select("shard", F.posexplode(F.arrays_zip("words", "df")).alias("place", "x")).select("shard", "place", F.col("x.words").alias("word"), F.col("x.df").alias("df"))
-    known = slots.withColumn("total", F.sum("df").over(Window.partitionBy("word"))).filter("total > 1").groupBy("shard").agg(F.collect_list(F.struct("place", "total")).alias("known"))
-    joined = shards.select("shard", "keys", "lengths", "words", "df", "docs", "counts").join(known, "shard", "left")
-    index = stored(joined.mapInArrow(lambda it: _weighed(it, n, mean), INDEX), "postings")
-
-    path, pieces = shared_path(spark, "pieces"), []
-
-    def write() -> None:
-        doc, start, length, sequence, offset = np.array(pieces, np.int64).reshape(-1, 5).T
-        at = np.searchsorted(edges, doc, "right") - 1
-        columns = {"shard": numbers[at], "doc": doc - edges[at], "start": start, "length": length, "sequence": sequence, "offset": offset}
-        spark.createDataFrame(pa.table(columns)).write.mode("append").parquet(path)
-        pieces.clear()
-
-    def emit(piece: tuple[int, int, int, int, int]) -> None:
-        pieces.append(piece)
-        if len(pieces) == HELD_PIECES:
-            write()
-
-    find = Retrieval(index, base, query_terms, top).neighbours
-    Packer(sizes, np.argsort(keys, kind="stable"), window, find, top, emit).run(max(1, round(int(sizes.sum()) / (window * ROUNDS))))
-    if pieces:
-        write()
-    own = spark.read.parquet(path).groupBy("shard").agg(F.collect_list(F.struct("doc", "start", "length", "sequence", "offset")).alias("pieces"))
-    return shards.select("shard", "doc_ids", "sizes", "ids").join(own, "shard").mapInArrow(_cut, PIECES)
-
-
-def _words(shards: DataFrame) -> int:
-    """Words of all documents."""
-    total = lambda it: (pa.RecordBatch.from_arrays([pa.array([sum(int(np.frombuffer(x, "<i8").sum()) for x in b.column(0).to_pylist())])], names=["n"]) for b in it)
-    return shards.select("lengths").mapInArrow(total, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = stored(rows.mapInArrow(lambda it: _encode(it, vocabulary, end, block_bytes, cache_units, kind, size), BLOCKS), "blocks")
+    held = spark.sparkContext.broadcast(statistics(blocks, size))
+    found = topic_order(blocks, held, kind, shard_tokens)
+    placed = blocks.select("part", "slot", "doc_ids", "sizes", "ids").join(found, ["part", "slot"])
+    spread = placed.mapInArrow(lambda it: _spread(it, kind), "shard long, start long, doc_id long, ids binary")
+    return spread.groupBy("shard").applyInArrow(lambda t: _packed(t, held, window, kind), PIECES)
