@@ -68,7 +68,9 @@ def test_find_names_of_one_file(spark, tmp_path):
     run = find(spark, tmp_path)
     assert [r["is_alias"] for r in run.outcomes.collect()] == [True] and run.summary["duplicate_files"] == 0
     assert find(spark, tmp_path, skip_hardlinked=True).outcomes.count() == 0
-    assert [os.path.basename(r["path"]) for r in api.listlink(spark, api.Options([str(tmp_path)])).collect()] == ["a", "b"]
+    listed = api.listlink(spark, api.Options([str(tmp_path), str(tmp_path / "none*")]))
+    assert listed.summary["hardlink_groups"] == 1 and listed.summary["total_files"] == 2 and listed.problems and "  1 hardlink" in "\n".join(listed.text())
+    assert [os.path.basename(r["path"]) for r in listed.outcomes.collect()] == ["a", "b"]
 
 
 def test_dedupe_delete_keeps_references(spark, tmp_path):
@@ -95,12 +97,35 @@ def test_missing_pattern_is_a_problem(spark, tmp_path):
 
 def test_find_cow(spark, tmp_path):
     make(tmp_path, {"a": "q" * 9000, "b": "q" * 9000})
-    rows = api.find_cow(spark, api.Options([str(tmp_path)])).collect()
+    run = api.find_cow(spark, api.Options([str(tmp_path), str(tmp_path / "none*")]))
+    rows = run.outcomes.collect()
+    assert (run.summary["cow_groups"], run.summary["duplicate_files"], run.summary["duplicate_bytes"], run.summary["total_files"]) == (1, 1, 9000, 2) and len(run.problems) == 1
     assert [os.path.basename(r["path"]) for r in rows] == ["a", "b"]
     assert all(r["shared_bytes"] in (None, 0) for r in rows)
     fileextents.query(str(tmp_path / "a"))  # None where the filesystem has no such map
 
 
+def test_sharing_of_sparse_unknown_and_unasked_groups(spark):
+    rows = spark.createDataFrame([(g, f"{g}{m}", 100) for g in "abcd" for m in (1, 2)], "sha256 string, path string, size long")
+    place = lambda p, physical: (p, 1, 100, 0, physical, 40, False, False, False)
+    none = lambda p: (p, 1, 100, *(None,) * 6)
+    probed = spark.createDataFrame([place("a1", 7), place("a2", 7), none("b1"), none("b2"), place("c1", 0), place("c2", 0)], fileextents.SCHEMA)
+    got = {r["path"]: r["shared_bytes"] for r in api.member_sharing(rows, probed).collect()}
+    assert got == {"a1": 40, "a2": 40, "b1": 0, "b2": 0, "c1": None, "c2": None, "d1": None, "d2": None}
+
+
+def test_cow_leaves_shared_storage_alone(spark, tmp_path, monkeypatch):
+    make(tmp_path, {"a": "q" * 9000, "b": "q" * 9000, "c": "q" * 9000})
+    where = {"a": 5 << 20, "b": 5 << 20, "c": 9 << 20}
+    monkeypatch.setattr(fileextents, "query", lambda path: [(0, where[os.path.basename(path)], 12_288, True, False, False)])
+    assert fileextents.same_storage(str(tmp_path / "a"), str(tmp_path / "b")) and not fileextents.same_storage(str(tmp_path / "a"), str(tmp_path / "c"))
+    assert actions.act("cow", known(tmp_path / "a"), known(tmp_path / "b")) == ("already_shared", None)
+    pairs = spark.createDataFrame([("h", str(tmp_path / "a"), str(tmp_path / n), False) for n in "bc"], "sha256 string, keeper string, victim string, is_alias boolean")
+    layout = spark.createDataFrame([(str(tmp_path / n), 1, 9000, 0, where[n], 9000, True, False, False) for n in "abc"], fileextents.SCHEMA)
+    monkeypatch.setattr(fileextents, "extents", lambda paths: layout)
+    assert [os.path.basename(r["victim"]) for r in api._already_shared(pairs).collect()] == ["b"]
+
+
 def known(path):
     info = os.stat(path)
     return actions.Known(str(path), info.st_size, info.st_mtime_ns, info.st_dev, info.st_ino)

@@ -59,6 +59,14 @@ def ask(members: DataFrame) -> DataFrame:
     return members.sparkSession.createDataFrame(kept, S.CHOICES)
 
 
+def closing(run: api.Run) -> int:
+    """Print the summary and the problems; the exit code."""
+    print("\n".join(["", *run.text()]))
+    for problem in run.problems:
+        print(problem, file=sys.stderr)
+    return int(bool(run.problems))
+
+
 def main(arguments: list[str] | None = None) -> int:
     args = parser().parse_args(arguments)
     if args.command == "version":
@@ -72,10 +80,10 @@ def main(arguments: list[str] | None = None) -> int:
     options = api.Options(args.patterns, args.ref, follow_symlinks=args.follow_symlinks, include_zero_length=args.zero)
     if args.command == "find" and (args.listlink or args.cow):
         columns = ("first_path", "path") if args.listlink else ("keeper", "path", "shared_bytes", "ratio")
-        found = api.listlink(spark, options) if args.listlink else api.find_cow(spark, options)
-        for row in found.toLocalIterator():
+        run = api.listlink(spark, options) if args.listlink else api.find_cow(spark, options)
+        for row in run.outcomes.toLocalIterator():
             print("\t".join("-" if row[c] is None else str(row[c]) for c in columns))
-        return 0
+        return closing(run)
     if args.command == "find":
         run = api.find(spark, api.Options(**{**vars(options), "skip_hardlinked": args.hardlink}))
     else:
@@ -83,10 +91,7 @@ def main(arguments: list[str] | None = None) -> int:
         run = api.dedupe(spark, options, args.action, ask if args.interactive else None)
     for row in run.lines().toLocalIterator():
         print(row["line"])
-    print("\n".join(["", *run.text()]))
-    for problem in run.problems:
-        print(problem, file=sys.stderr)
-    return int(bool(run.problems))
+    return closing(run)
 
 
 if __name__ == "__main__":

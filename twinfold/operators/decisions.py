@@ -61,6 +61,12 @@ def decide(pairs: DataFrame, state: DataFrame, action: str, skip_hardlinked: boo
     return df.select(*pairs.columns, F.lit(action).alias("action"), result.alias("result"))
 
 
+def one_row(*tables: DataFrame) -> DataFrame:
+    """The columns of tables of one row each, side by side."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    return rows.agg(*(F.max(c).alias(c) for c in rows.columns))
+
+
 def summary(inventory: DataFrame, outcomes: DataFrame) -> DataFrame:
     """One row of counters. A victim's physical file counts once; aliases and withdrawn decisions hold no duplicate storage."""
     totals = inventory.agg(F.count("*").alias("total_files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("total_bytes"))
@@ -72,14 +78,23 @@ def summary(inventory: DataFrame, outcomes: DataFrame) -> DataFrame:
         of("deleted").alias("deleted_files"), of("hardlinked").alias("hardlinked_files"), of("cow_cloned").alias("cow_cloned_files"), of("skipped_ro").alias("skipped_ro_files"),
         of("skipped_ref").alias("skipped_ref_files"), of("skipped_changed").alias("skipped_changed_files"), of("error").alias("failed_files"),
     )
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (totals, dupes, results))  # one row each
-    return rows.agg(*(F.max(c).alias(c) for c in rows.columns))
+    return one_row(totals, dupes, results)
+
+
+def listlink_summary(inventory: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row: all listed names, their bytes, and groups of hard links."""
+    totals = inventory.agg(F.count("*").alias("total_files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("total_bytes"))
+    return one_row(totals, groups.agg(F.count("*").alias("hardlink_groups")))
 
 
 def cow_summary(groups: DataFrame) -> DataFrame:
-    """One row: groups, files and bytes beyond the first of each. groups: files, size."""
+    """One row: groups, files and bytes beyond the first of each, and the bytes that members share already (unknown: 0).
+
+    groups: files, size, and shared_bytes of all members where that is known."""
     zero = F.lit(0)
+    shared = F.coalesce(F.sum("shared_bytes"), zero).cast("long") if "shared_bytes" in groups.columns else zero.cast("long")
     return groups.agg(
+        shared.alias("cow_shared_bytes"),
         F.count("*").alias("cow_groups"),
         F.coalesce(F.sum(F.col("files") - 1), zero).cast("long").alias("duplicate_files"),
         F.coalesce(F.sum((F.col("files") - 1) * F.col("size")), zero).cast("long").alias("duplicate_bytes"),

@@ -74,14 +74,21 @@ def _compressed(files: DataFrame, probe: bool) -> DataFrame:
     return files.join(own, "path", "left").withColumn("compressed", F.coalesce("compressed", F.lit(False)))
 
 
-def _finish(files: DataFrame, scanned: DataFrame, outcomes: DataFrame, bad: DataFrame, problems: list[str]) -> Run:
-    found = source.errors(scanned)
-    summary = decisions.summary(files, outcomes).first().asDict()
-    summary["zero_length_files"] = source.zero_length(scanned).count()
-    summary["cant_read_files"] = bad.count() + found.count()
-    if summary["failed_files"]:
-        problems = [*problems, f"{summary['failed_files']} files could not be processed"]
-    return Run(files, outcomes, found, summary, problems)
+def _already_shared(pairs: DataFrame) -> DataFrame:
+    """keeper and victim of the pairs whose layouts are equal: their storage is shared as it is."""
+    pairs = pairs.filter("NOT is_alias").select(F.col("sha256").alias("grp"), F.col("keeper").alias("left"), F.col("victim").alias("right"))
+    paths = pairs.select("grp", F.col("left").alias("path")).unionByName(pairs.select("grp", F.col("right").alias("path"))).distinct()
+    own = fileextents.extents(paths).join(paths, "path").withColumnRenamed("path", "member")
+    return extents.layouts_equal(stored(own, "layouts"), pairs).filter("equal").select(F.col("left").alias("keeper"), F.col("right").alias("victim"))
+
+
+def _finish(files: DataFrame, scanned: DataFrame, outcomes: DataFrame, bad: DataFrame | None, summary: DataFrame, problems: list[str]) -> Run:
+    found, counters = source.errors(scanned), summary.first().asDict()
+    counters["zero_length_files"] = source.zero_length(scanned).count()
+    counters["cant_read_files"] = found.count() + (bad.count() if bad is not None else 0)
+    if counters.get("failed_files"):
+        problems = [*problems, f"{counters['failed_files']} files could not be processed"]
+    return Run(files, outcomes, found, counters, problems)
 
 
 Choices = DataFrame | Callable[[DataFrame], DataFrame] | None
@@ -98,10 +105,11 @@ def _run(spark: SparkSession, options: Options, action: str, choices: Choices) -
         choices = choices(duplicates.ranked(duplicates.collapse_aliases(held, order), order))
     pairs = duplicates.duplicate_pairs(held, order, aliases) if choices is None else duplicates.chosen_pairs(held, choices, order, aliases)
     state = held.select("path", F.lit(True).alias("fresh"), "read_only")
-    outcomes = stored(decisions.decide(pairs, state, action, options.skip_hardlinked, options.include_readonly), "outcomes")
+    shared = _already_shared(pairs) if action == S.COW else None
+    outcomes = stored(decisions.decide(pairs, state, action, options.skip_hardlinked, options.include_readonly, shared), "outcomes")
     if action != S.REPORT:
         outcomes = actions.apply(outcomes, held, shared_path(spark, "results"), options.include_readonly)
-    return _finish(files, scanned, outcomes, bad, problems)
+    return _finish(files, scanned, outcomes, bad, decisions.summary(files, outcomes), problems)
 
 
 def find(spark: SparkSession, options: Options, choices: Choices = None) -> Run:
@@ -120,27 +128,41 @@ def dedupe(spark: SparkSession, options: Options, action: str, choices: Choices
     return _run(spark, options, action, choices)
 
 
-def listlink(spark: SparkSession, options: Options) -> DataFrame:
-    """dev, inode, first_path, path of every name in a group of hard links; no file is read."""
+def listlink(spark: SparkSession, options: Options) -> Run:
+    """A run whose outcomes are dev, inode, first_path, path of every name in a group of hard links; no file is read."""
     ship(spark)
-    files, _, _ = _scanned(spark, options)
-    return duplicates.hardlink_members(files).select("dev", "inode", "first_path", "path").orderBy("first_path", "path")
+    files, scanned, problems = _scanned(spark, options)
+    members = duplicates.hardlink_members(files).select("dev", "inode", "first_path", "path").orderBy("first_path", "path")
+    return _finish(files, scanned, members, None, decisions.listlink_summary(files, duplicates.hardlink_groups(files)), problems)
+
+
+def member_sharing(rows: DataFrame, probed: DataFrame) -> DataFrame:
+    """rows (sha256, path, ...) with shared_bytes: what each member shares with the rest of its group.
+
+    probed: rows of fileextents.SCHEMA. Null where no file of the group could be asked, or where there are extents but none
+    has a known place; a group of sparse files shares 0."""
+    raw = stored(probed.join(rows.select("path", F.col("sha256").alias("grp")), "path").withColumnRenamed("path", "member"), "extents")
+    own = extents.clamp(raw)
+    asked = raw.select(F.col("grp").alias("sha256")).distinct().withColumn("asked", F.lit(True))
+    known = extents.available(own).select(F.col("grp").alias("sha256"), "available")
+    shared = extents.shared_bytes(own).select(F.col("grp").alias("sha256"), F.col("member").alias("path"), F.col("shared_bytes").alias("known"))
+    out = rows.join(shared, ["sha256", "path"], "left").join(known, "sha256", "left").join(asked, "sha256", "left")
+    told = F.col("asked") & F.coalesce("available", F.lit(True))
+    return out.withColumn("shared_bytes", F.when(told, F.coalesce("known", F.lit(0)))).drop("known", "available", "asked")
 
 
-def find_cow(spark: SparkSession, options: Options) -> DataFrame:
-    """sha256, size, keeper, path, shared_bytes, ratio of every physical file of each group of equal content.
+def find_cow(spark: SparkSession, options: Options) -> Run:
+    """A run whose outcomes are sha256, size, keeper, path, shared_bytes, ratio of every physical file of each group of equal content.
 
     shared_bytes and ratio are null where the filesystem tells no extents."""
     ship(spark)
-    files, _, _ = _scanned(spark, options)
-    held, _ = _digested(files)
-    members = duplicates.collapse_aliases(held.withColumn("compressed", F.lit(False)))
-    groups = duplicates.cow_groups(held.withColumn("compressed", F.lit(False))).select("sha256", "size", "keeper")
-    rows = stored(members.select("path", "sha256", "size").join(groups, ["sha256", "size"]), "cow")
-    own = fileextents.extents(rows).join(rows.select("path", "sha256"), "path").select(F.col("sha256").alias("grp"), F.col("path").alias("member"), "dev", "logical", "physical", "length", "shared", "encoded", "opaque")
-    own = stored(own, "extents")
-    shared = extents.shared_bytes(own).join(extents.available(own), "grp").select(F.col("member").alias("path"), F.when(F.col("available"), F.col("shared_bytes")).alias("known"))
-    known = extents.available(own).select(F.col("grp").alias("sha256"), "available")
-    out = rows.join(shared, "path", "left").join(known, "sha256", "left")
-    out = out.withColumn("shared_bytes", F.when(F.col("available"), F.coalesce("known", F.lit(0))))
-    return out.select("sha256", "size", "keeper", "path", "shared_bytes", extents.shared_ratio(F.col("shared_bytes"), F.col("size")).alias("ratio")).orderBy("keeper", "path")
+    files, scanned, problems = _scanned(spark, options)
+    held, bad = _digested(files)
+    held = held.withColumn("compressed", F.lit(False))
+    groups = duplicates.cow_groups(held).select("sha256", "size", "keeper", "files")
+    rows = stored(duplicates.collapse_aliases(held).select("path", "sha256", "size").join(groups, ["sha256", "size"]), "cow")
+    out = stored(member_sharing(rows, fileextents.probed(rows)), "sharing")
+    each = out.groupBy("sha256", "size", "files").agg(F.sum("shared_bytes").alias("shared_bytes"))
+    totals = decisions.listlink_summary(files, each.limit(0)).drop("hardlink_groups")
+    members = out.select("sha256", "size", "keeper", "path", "shared_bytes", extents.shared_ratio(F.col("shared_bytes"), F.col("size")).alias("ratio")).orderBy("keeper", "path")
+    return _finish(files, scanned, members, bad, decisions.one_row(totals, decisions.cow_summary(each)), problems)

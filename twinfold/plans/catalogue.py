@@ -16,8 +16,6 @@ from twinfold.sources import tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Bytes that the signature queries read, small enough for the SQL's list fold.
-SIGNATURE_WINDOW = 64
 #: So few that different contents of one size collide.
 COLLIDING_WINDOW = 3
 GLOBS = ("src1*/en/**", "src[2-4]/**/*[05].txt", "*/fr/*", "**/00000001??.txt", "src?/[^e]*/*7.txt", "none/*.txt", "src[", "**")
@@ -145,14 +143,14 @@ _FOLD_SQL = """
 )"""
 
 
-def _signed(spark: SparkSession, sf_dir: str, window: int = SIGNATURE_WINDOW) -> DataFrame:
+def _signed(spark: SparkSession, sf_dir: str, window: int = digests.WINDOW_BYTES) -> DataFrame:
     docs = tables.documents(spark, sf_dir).select("doc_id", "text")
     weak = docs.select("doc_id", digests.weak_signature(F.col("text"), window_bytes=window).alias("w"))
     return tables.inventory(spark, sf_dir).join(weak, "doc_id").select("*", "w.crc32", "w.sum32").drop("w")
 
 
 _WEAK = ", weak AS (SELECT path, size, CAST(crc AS BIGINT) AS crc32, CAST((total + size) & 4294967295 AS BIGINT) AS sum32 FROM signed)"
-_SIGNED_SQL = _INVENTORY + _FOLD_SQL % SIGNATURE_WINDOW + _WEAK
+_SIGNED_SQL = _INVENTORY + _FOLD_SQL % digests.WINDOW_BYTES + _WEAK
 _COLLIDING_SQL = _INVENTORY + _FOLD_SQL % COLLIDING_WINDOW + _WEAK
 
 
@@ -166,19 +164,6 @@ def weak_groups(spark, sf_dir):
     return duplicates.weak_candidates(_signed(spark, sf_dir)).groupBy("crc32", "sum32", "size").agg(F.count("*").alias("files"))
 
 
-_WHOLE_SQL = _INVENTORY + _FOLD_SQL % digests.WINDOW_BYTES + _WEAK
-
-
-@query("weak_signature_full", _WHOLE_SQL + " SELECT path, size, crc32, sum32 FROM weak")
-def weak_signature_full(spark, sf_dir):
-    return _signed(spark, sf_dir, digests.WINDOW_BYTES).select("path", "size", "crc32", "sum32")
-
-
-@query("weak_groups_full", _WHOLE_SQL + " SELECT crc32, sum32, size, count(*) AS files FROM weak GROUP BY ALL HAVING count(*) >= 2")
-def weak_groups_full(spark, sf_dir):
-    return duplicates.weak_candidates(_signed(spark, sf_dir, digests.WINDOW_BYTES)).groupBy("crc32", "sum32", "size").agg(F.count("*").alias("files"))
-
-
 @query("weak_collisions", _COLLIDING_SQL + " SELECT crc32, sum32, w.size, count(DISTINCT sha256) AS contents FROM weak w JOIN inv USING (path) GROUP BY ALL HAVING count(DISTINCT sha256) >= 2")
 def weak_collisions(spark, sf_dir):
     groups = _signed(spark, sf_dir, COLLIDING_WINDOW).groupBy("crc32", "sum32", "size").agg(F.countDistinct("sha256").alias("contents"))
@@ -200,6 +185,12 @@ def listlink_members(spark, sf_dir):
     return duplicates.hardlink_members(tables.inventory(spark, sf_dir)).select("dev", "inode", "path", "first_path")
 
 
+@query("summary_listlink", _INVENTORY + " SELECT count(*) AS total_files, CAST(sum(size) AS BIGINT) AS total_bytes, (SELECT count(*) FROM (SELECT 1 FROM inv WHERE num_links >= 2 GROUP BY dev, inode HAVING count(*) >= 2)) AS hardlink_groups FROM inv")
+def summary_listlink(spark, sf_dir):
+    rows = tables.inventory(spark, sf_dir)
+    return decisions.listlink_summary(rows, duplicates.hardlink_groups(rows))
+
+
 @query("alias_pairs", _PAIRS + " SELECT sha256, size, keeper, victim FROM pairs WHERE is_alias")
 def alias_pairs(spark, sf_dir):
     return duplicates.duplicate_pairs(tables.inventory(spark, sf_dir)).filter("is_alias").select("sha256", "size", "keeper", "victim")
@@ -226,9 +217,10 @@ def cow_groups(spark, sf_dir):
     return duplicates.cow_groups(tables.inventory(spark, sf_dir)).select("sha256", "size", "keeper", "files")
 
 
-@query("summary_cow", _COW_GROUPS + " SELECT count(*) AS cow_groups, CAST(coalesce(sum(files - 1), 0) AS BIGINT) AS duplicate_files, CAST(coalesce(sum((files - 1) * size), 0) AS BIGINT) AS duplicate_bytes FROM cow")
+@query("summary_cow", _COW_GROUPS + " SELECT CAST(coalesce(sum(files % 3 * 100) FILTER (size % 7 <> 0), 0) AS BIGINT) AS cow_shared_bytes, count(*) AS cow_groups, CAST(coalesce(sum(files - 1), 0) AS BIGINT) AS duplicate_files, CAST(coalesce(sum((files - 1) * size), 0) AS BIGINT) AS duplicate_bytes FROM cow")
 def summary_cow(spark, sf_dir):
-    return decisions.cow_summary(duplicates.cow_groups(tables.inventory(spark, sf_dir)))
+    groups = duplicates.cow_groups(tables.inventory(spark, sf_dir))
+    return decisions.cow_summary(groups.withColumn("shared_bytes", F.when(F.col("size") % 7 != 0, F.col("files") % 3 * 100)))
 
 
 _EXTENTS = """
@@ -276,22 +268,10 @@ def _next_members(rows: DataFrame) -> DataFrame:
 
 @query(
     "layout_equal",
-    _EXTENTS + """, small AS (SELECT grp, member, logical, physical % 3 + 1 AS physical FROM e WHERE logical <= 1)
-, lay AS (SELECT grp, member, list(logical * 1000 + physical ORDER BY logical, physical) AS l FROM small GROUP BY grp, member)
-SELECT a.grp, a.member AS "left", b.member AS "right", a.l = b.l AS equal FROM lay a JOIN lay b ON a.grp = b.grp AND b.member = a.member + 1""",
-)
-def layout_equal(spark, sf_dir):
-    flag = F.lit(False)
-    rows = tables.extents(spark, sf_dir).filter("logical <= 1").select("grp", "member", "dev", "logical", (F.col("physical") % 3 + 1).alias("physical"), F.lit(1).cast("long").alias("length"), flag.alias("encoded"), flag.alias("opaque"))
-    return extents.layouts_equal(rows, _next_members(rows))
-
-
-@query(
-    "layout_equal_full",
     _EXTENTS + """, lay AS (SELECT grp, member, list({'l': logical, 'p': physical, 'n': length, 'e': encoded, 'o': opaque} ORDER BY logical, physical, length, encoded, opaque) AS l FROM e GROUP BY grp, member)
 SELECT a.grp, a.member AS "left", b.member AS "right", a.l = b.l AS equal FROM lay a JOIN lay b ON a.grp = b.grp AND b.member = a.member + 1""",
 )
-def layout_equal_full(spark, sf_dir):
+def layout_equal(spark, sf_dir):
     rows = tables.extents(spark, sf_dir)
     return extents.layouts_equal(rows, _next_members(rows))
 
@@ -368,6 +348,14 @@ def _summary(name: str, action: str) -> None:
         return decisions.summary(*_outcomes(spark, sf_dir, action))
 
 
+@query("decision_cow_shared", _decided_sql(S.COW).replace("WHEN victim_read_only", "WHEN victim_id % 4 = 0 THEN 'already_shared' WHEN victim_read_only") + " SELECT keeper, victim, action, result FROM decided")
+def decision_cow_shared(spark, sf_dir):
+    rows = tables.inventory(spark, sf_dir)
+    pairs = duplicates.duplicate_pairs(rows, list_aliases=True)
+    shared = pairs.join(rows.filter("doc_id % 4 = 0").select(F.col("path").alias("victim")), "victim", "left_semi").select("keeper", "victim")
+    return decisions.decide(pairs, decisions.with_freshness(rows, tables.live_state(rows)), S.COW, already_shared=shared).select("keeper", "victim", "action", "result")
+
+
 for _action in S.ACTIONS:
     _decision(_action)
 _summary("summary_find", S.REPORT)

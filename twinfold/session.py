@@ -26,11 +26,13 @@ def local_session(cores: str | int = "*", memory: str = "8g") -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir; in a single local process (tests) a local one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = f"file://{_OWN}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

@@ -19,6 +19,7 @@ _BATCH = 128
 _LAST, _UNKNOWN, _DELALLOC, _ENCODED, _ENCRYPTED, _INLINE, _TAIL, _SHARED = 0x1, 0x2, 0x4, 0x8, 0x80, 0x200, 0x400, 0x2000
 _HEADER, _EXTENT = struct.Struct("=QQLLLL"), struct.Struct("=QQQQQLLLL")
 
+#: A file that has no extents at all (it is sparse) is one row without a place; one whose query fails has no row.
 SCHEMA = "path string, dev long, size long, logical long, physical long, length long, shared boolean, encoded boolean, opaque boolean"
 
 
@@ -53,10 +54,29 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 info, found = os.stat(path), query(path)
             except OSError:
                 continue
-            rows += [(path, info.st_dev, info.st_size, *x) for x in found or []]
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+            if found is not None:
+                rows += [(path, info.st_dev, info.st_size, *x) for x in found or [(None,) * 6]]
+        columns = [c.split() for c in SCHEMA.split(", ")]
+        yield pd.DataFrame(rows, columns=[name for name, _ in columns]).astype({name: "Int64" if kind == "long" else "boolean" for name, kind in columns if kind != "string"})
+
+
+def probed(paths: DataFrame) -> DataFrame:
+    """Rows of SCHEMA for the files in column path whose extents can be told."""
+    return paths.select("path").mapInPandas(_read, SCHEMA)
 
 
 def extents(paths: DataFrame) -> DataFrame:
     """Extents of the files in column path, cut off at their sizes."""
-    return clamp(paths.select("path").mapInPandas(_read, SCHEMA))
+    return clamp(probed(paths))
+
+
+def same_storage(left: str, right: str) -> bool:
+    """Whether two files on one device have the same extents, all of known places; empty and unknown layouts are not the same."""
+    try:
+        if os.stat(left).st_dev != os.stat(right).st_dev:
+            return False
+        sizes, found = [os.stat(p).st_size for p in (left, right)], [query(p) for p in (left, right)]
+    except OSError:
+        return False
+    own = [sorted((at, place, min(length, size - at), coded, odd) for at, place, length, _, coded, odd in rows or [] if at < size) for rows, size in zip(found, sizes, strict=True)]
+    return bool(own[0]) and own[0] == own[1] and all(place for _, place, *_ in own[0])
