@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from itertools import chain, filterfalse, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,11 @@ CACHE_UNITS = 600_000
 #: two, except at an apostrophe, which may begin a contraction.
 _LETTER = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
 _SIGN = np.array([33 <= b <= 126 and b != 39 and not chr(b).isalnum() for b in range(256)])
+#: Units of Latin letters are one pre-token as they are (lower-cased where the vocabulary is), so the model alone splits them.
+_PLAIN = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+#: The characters that byte-level models have for bytes: printable Latin-1 as it is, others from U+0100 on in their order.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+_BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 _ENCODERS: dict[tuple, UnitEncoder] = {}
 
 
@@ -48,6 +53,7 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.leading_space, self.cache_units = leading_space, cache_units
         special = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile(b"|".join([UNICODE_SPACE] * leading_space + special) or rb"(?!)")
@@ -85,9 +91,25 @@ class UnitEncoder:
         self.known.update(zip(units, range(at, at + len(units)), strict=True))
 
     def learn(self, units: list[str]) -> None:
-        found = [c.ids for c in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        plain = list(filter(_PLAIN, units))
+        letters, accented = list(filter(str.isascii, plain)), [u for u in plain if not u.isascii()]
+        other = list(filterfalse(_PLAIN, units))
+        found = [*map(self.model_ids, self.shown(letters)), *map(self.model_ids, self.shown(accented))]
+        if other:
+            found += [c.ids for c in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.append(units, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+        self.append(letters + accented + other, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+
+    def shown(self, units: list[str]) -> list[str]:
+        """Plain units as the model takes them."""
+        text = "\n".join(units)
+        text = text if self.leading_space else text.lower()
+        if text.isascii():
+            return text.replace(" ", chr(_BYTE_CHARACTERS[32])).split("\n") if units else []
+        return text.encode().decode("latin-1").translate(_BYTE_CHARACTERS).split(chr(_BYTE_CHARACTERS[10]))
+
+    def model_ids(self, unit: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(unit)]
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the units of all texts."""
@@ -138,11 +160,11 @@ class UnitEncoder:
         names = units.dictionary.to_pylist()
         if len(self.known) + len(names) > self.cache_units and self.known:
             self.forget()
-        fresh = [u for u in names if u not in self.known]
-        if fresh:
-            self.learn(fresh)
-        known = self.known
-        own = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+        own = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(own < 0)
+        if len(new):
+            self.learn([names[i] for i in new.tolist()])
+            own[new] = np.fromiter((self.known[names[i]] for i in new.tolist()), np.int64, len(new))
         self.hits[own] += 1
         slots = own[units.indices.to_numpy()]
         first = self.ends[slots]
