@@ -56,3 +56,26 @@ def test_decisions_hit_their_rows_only(spark, tmp_path):
     assert same(left(corpus_pipeline.near_stage, [(1, a), (1, a), (2, b), (3, b + " x"), (3, c), (None, a + " x"), (None, d)]), [(1, a), (2, b), (3, c), (None, d)])
     spark.createDataFrame([(None, a), (7, b)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert same(left(corpus_pipeline.decontamination_stage, [(1, a), (2, b), (2, c), (3, d), (None, b), (None, d)]), [(2, c), (3, d), (None, d)])
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Null and empty texts, null and repeated doc_ids, and columns with the names that stages use inside."""
+    from helpers import ODD, SCHEMA, clashing
+
+    corpus(spark, tmp_path)
+    odd = clashing(spark.createDataFrame(ODD, SCHEMA)).selectExpr("*", "7 AS _row", "'x' AS bucket", "'x' AS _quality")
+    df = odd
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, df, str(tmp_path)).write.parquet(str(tmp_path / f"odd{k}"))
+        df = spark.read.parquet(str(tmp_path / f"odd{k}"))
+        if k < 4:
+            assert df.columns == odd.columns and df.filter("_row <> 7 OR bucket <> 'x' OR _quality <> 'x'").isEmpty()
+        df = odd if k == 0 else df  # the classifier may refuse odd texts; the other stages are to meet them all
+    assert {r["doc_id"] for r in df.collect()} == {3, 4, 5, 7, 8, 9, 10, None}  # of the empty texts the longest stays
+
+
+def test_no_documents(spark, tmp_path):
+    corpus(spark, tmp_path / "full")
+    for name in ("labels", "benchmark", "documents"):
+        spark.read.parquet(f"{tmp_path}/full/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

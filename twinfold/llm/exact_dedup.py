@@ -9,16 +9,18 @@ Keys are 64-bit hashes of the normalised text (white space deleted). The index i
    directory doubles: the bucket is split by one more bit, until none is overfull or `max_depth` is reached (a bucket
    of that depth keeps its overflow, which is exact too). A step regroups only the keys of overfull buckets; hashes
    are even, so one or two steps do at any size.
-3. Bucket files: entries are dealt to owner tasks by bucket, so a task owns key ranges, and are written in key order.
-4. Chains: only keys with two rows or more can hold copies or collisions. Their texts are read again and grouped
-   by key and text: a key's distinct texts are its chain, told apart by their bytes, each with its copies' count and
-   its best row. Rows meet their chain link by an equi-join on key and bytes. Texts move once, in a sort-merge join at
-   every size, which adaptive execution can split where one key is hot; what it keeps is written to shared files.
+3. Bucket files: entries are dealt to owner tasks by bucket, so that a task owns whole buckets, one range of keys, and are
+   written in key order.
+4. Chains: only keys with two rows or more can hold copies or collisions. Their texts are read again, take the bucket
+   of their key from the index, and are grouped inside it by key and text: a key's distinct texts are its chain, told
+   apart by their bytes, each with its copies' count and its best row. Rows meet their chain link by an equi-join on bucket, key and
+   bytes. Texts move once, in a sort-merge join at every size, which adaptive execution can split where one key is hot;
+   what it keeps is written to shared files, with a number for each row.
 
 Defined results: a null text is empty; texts that are only white space equal the empty one; of equal texts the
-row with the most code points in the original text stays, then the smallest doc_id (a null id last); repeated rows
-are rows like others, and where the best row occurs twice with the same doc_id, all its occurrences are marked kept;
-no rows give no rows; other columns are ignored whatever their names.
+row with the most code points in the original text stays, then the smallest doc_id (a null id last); repeated rows are rows
+like others: where the best row occurs several times with the same doc_id, one of its occurrences stays, so each group
+keeps exactly one row; no rows give no rows; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -48,6 +50,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n"),
         normalised(text).alias("norm"),
+        F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(text, F.lit(""))).alias("row_key"),
     ).withColumn("key", F.xxhash64("norm"))
 
 
@@ -56,6 +59,12 @@ def _prefix(depth: int) -> Column:
     return F.call_function("shiftrightunsigned", F.col("key"), F.lit(64 - depth)) if depth else F.lit(0).cast("long")
 
 
+def _first_key(depth: str) -> Column:
+    """The key with which the bucket of a key begins."""
+    unused = F.lit(64) - F.col(depth)
+    return F.when(F.col(depth) == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.col("key"), unused), unused))
+
+
 def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, first_depth: int | None = None) -> dict[int, DataFrame]:
     """Tables (depth, prefix, keys) of the final buckets of the (key) table, by depth; a job per doubling."""
     if first_depth is None:
@@ -74,33 +83,34 @@ def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DE
 
 
 def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """One narrow row per document, and the index's bucket files: (depth, prefix, key, copies), one entry per key, in key order."""
+    """One narrow row per document, and the index's bucket files: (depth, prefix, key, copies, bucket), one entry per key, in key order."""
     spark = docs.sparkSession
-    rows = stored(_keyed(docs).select("doc_id", "n", "key", F.sha2("norm", 256).alias("text_sha256")), "rows")
+    rows = stored(_keyed(docs).select("doc_id", "n", "key", "row_key", F.sha2("norm", 256).alias("text_sha256")), "rows")
     counts = stored(rows.groupBy("key").agg(F.count("*").alias("copies")), "keys")
     entries = [
         counts.withColumn("prefix", _prefix(depth)).join(buckets.select("depth", "prefix"), "prefix").select("depth", "prefix", "key", "copies")
         for depth, buckets in directory(counts, capacity, max_depth).items()
     ]
-    owned = reduce(DataFrame.unionByName, entries)
+    owned = reduce(DataFrame.unionByName, entries).withColumn("bucket", _first_key("depth"))
     path = path or shared_path(spark, "index")
-    owned.repartitionByRange("key").sortWithinPartitions("key").write.parquet(path)
+    owned.repartitionByRange("bucket").sortWithinPartitions("bucket", "key").write.parquet(path)
     return rows, spark.read.schema(owned.schema).parquet(path)
 
 
 def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row of (doc_id, text)."""
+    """doc_id, keep_id, group_size, kept, text_sha256, row_key (a hash of doc_id and the text as it is) of every row of (doc_id, text)."""
     rows, index = build_index(docs, capacity, max_depth)
-    several = index.filter(F.col("copies") > 1).select("key")
-    alone = rows.join(several, "key", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    again = stored(_keyed(docs).join(several.hint("merge"), "key", "left_semi"), "several")
-    order = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("unknown"), "doc_id")
-    chains = stored(again.groupBy("key", "norm").agg(F.count("*").alias("group_size"), F.min(order).alias("best")), "chains")
-    same = again.join(chains, ["key", "norm"]).select(
+    several = index.filter(F.col("copies") > 1).select("bucket", "key")
+    alone = rows.join(several, "key", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "row_key")
+    again = stored(_keyed(docs).join(several.hint("merge"), "key").withColumn("row", F.monotonically_increasing_id()), "several")
+    order = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
+    chains = stored(again.groupBy("bucket", "key", "norm").agg(F.count("*").alias("group_size"), F.min(order).alias("best")), "chains")
+    same = again.join(chains, ["bucket", "key", "norm"]).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n") == -F.col("best.n"))).alias("kept"),
+        (F.col("row") == F.col("best.row")).alias("kept"),
         F.sha2("norm", 256).alias("text_sha256"),
+        "row_key",
     )
     return alone.unionByName(same)

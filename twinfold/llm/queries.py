@@ -138,7 +138,7 @@ SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_text_links,
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents")).drop("row_key")
 
 
 OP5_SQL = r"""
@@ -146,10 +146,11 @@ WITH keyed AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
 ), ranked AS (
   SELECT doc_id, norm, count(*) OVER (PARTITION BY norm) AS group_size,
-         first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id
+         first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id,
+         row_number() OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS place
   FROM keyed
 )
-SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM ranked
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM ranked
 """
 
 
