@@ -52,6 +52,23 @@ def test_against_brute_force(spark):
     check(spark, rows + [(900, " ".join("token=" + key(20) for _ in range(300))), (901, key(3000)), *ODD])
 
 
+def test_long_candidates(spark):
+    """Candidates over several pieces, with hot and cold stretches at their edges, and 100,000 characters at once."""
+    rng = random.Random(5)
+    key = lambda n, of=string.ascii_letters + string.digits: "".join(rng.choice(of) for _ in range(n))
+    rows = [(k, key(n)) for k, n in enumerate(m * S.PIECE + d for m in (1, 2) for d in (-1, 0, 1, 18, 19, 20))]
+    rows += [(50 + d, "a1" * ((S.PIECE - d) // 2) + key(25) + "b2" * S.PIECE) for d in (0, 5, 12, 19, 20, 30)]
+    rows += [(80, "x7" * 3000 + key(100_000) + "y8" * 2000), (81, "0f" * 5000), (82, key(9000, "0123456789abcdef") + "G")]
+    check(spark, rows)
+
+
+def test_many_spans_beside_pattern_spans(spark):
+    rng = random.Random(6)
+    key = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    parts = [lambda: "token=" + key(12), lambda: key(30), lambda: "token=" + key(30), lambda: "pw " + key(5), lambda: "secret: " + key(9) + "+" + key(22)]
+    check(spark, [(1, " ".join(rng.choice(parts)() for _ in range(3000))), (2, "".join(key(24) + "secret=" + key(8) + "," for _ in range(40)))])
+
+
 def test_rules(spark):
     rows = [
         (1, "password: secret: abcdefghijkl"),  # the short match takes the second word with it
