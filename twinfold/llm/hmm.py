@@ -4,9 +4,9 @@ The corpus is encoded once into shared files: a shard is a run of whole document
 one row with its own vocabulary, its words' classes and codes, and its training counts. Everything after works on
 codes.
 
-* Word counts: shard vocabularies are dealt out by word and summed; the table grows with the corpus and is never
-  broadcast. A word has one row a shard at most, however often it occurs, so no word is hot. The same shuffle sends
-  each shard the counts of just its own words back.
+* Word counts: shard vocabularies are summed by word, pre-aggregated before the shuffle; the table grows with the corpus
+  and is never broadcast. A sort-merge join sends each shard the counts of just its own words back; a word that many shards
+  hold is one key with a row a shard, which adaptive execution splits.
 * The model: hidden states emit word classes, and a class emits its words by their counts:
   p(text) = sum over state paths of prod p(state | state before) p(class | state) p(word | class). A word's class is its
   hash, one of `classes`, so that the parameters have a fixed size (states * classes numbers), which is what is
@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.llm.words import SPACED, lists, slices, split_words
@@ -304,11 +304,10 @@ def score(
     shards = encode(docs, held_out, shard_bytes, classes)
     slots = shards.select("shard", F.posexplode(F.arrays_zip("words", "classes", "counts")).alias("place", "x"))
     slots = slots.select("shard", "place", F.col("x.words").alias("word"), F.col("x.classes").alias("class"), F.col("x.counts").alias("n"))
-    by_word = Window.partitionBy("word")
-    counted = slots.select("shard", "place", "class", "n", F.sum("n").over(by_word).alias("count"), F.row_number().over(by_word.orderBy("shard", "place")).alias("k"))
-    counted = stored(counted.filter("count > 0").select("shard", "place", "count", F.when(F.col("k") == 1, F.col("class")).alias("class")), "counts")
+    words = stored(slots.groupBy("word").agg(F.sum("n").alias("count"), F.first("class").alias("class")).filter("count > 0"), "words")
+    counted = slots.select("shard", "place", "word").join(words.select("word", "count").hint("merge"), "word").drop("word")
     ends = shards.select(F.explode("held_out").alias("h")).filter("NOT h").count()
-    table = counted.filter("class IS NOT NULL").groupBy("class").agg(F.sum("count").alias("tokens"), F.count("*").alias("words")).toArrow()  # a row a class
+    table = words.groupBy("class").agg(F.sum("count").alias("tokens"), F.count("*").alias("words")).toArrow()  # a row a class
     class_tokens, class_words = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
     class_tokens[table.column("class").to_numpy()] = table.column("tokens").to_numpy()
     class_words[table.column("class").to_numpy()] = table.column("words").to_numpy()
