@@ -4,7 +4,8 @@ fit() takes at most `sample` labelled texts of each class (of at most `most_char
 to the driver: a documented bound. Half of them, by hash, train a zstandard dictionary per class; the others calibrate.
 A text's feature is its normalised compressed-size difference, (bad - good) / (bytes + SHRINK), summed over blocks of
 `block` bytes of the whole text, so that the dictionaries count for all of a long text. A logistic fit makes it a
-score; the shrinkage SHRINK / (bytes + SHRINK) is its second term, as a short text's difference says little.
+score; the shrinkage SHRINK / (bytes + SHRINK) is its second term, as a short text's difference says little. Sampled rows
+are weighted so that the classes have their shares of all usable labels, so scores mean the same at every size.
 score() is a scan that compresses each text where it is read: no shuffle, and a broadcast of two dictionaries.
 
 Defined results: a null text is empty and scored like one; every row of docs gives one row, repeated rows and null
@@ -79,24 +80,31 @@ def _terms(features: list[tuple[float, float]]) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), x[:, 0] * 10, x[:, 1], x[:, 0] * 10 * x[:, 1]])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Newton's method with a small penalty; a fixed number of steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+    """Newton's method over weighted rows with a small penalty; a fixed number of steps."""
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(len(w))
     penalty[0, 0] = 1e-6
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((x * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ x + penalty, x.T @ (weight * (y - p)) - penalty @ w)
         w += np.clip(step, -5, 5)
     return w
 
 
+def class_weights(y: np.ndarray, counts: dict[int, int]) -> np.ndarray:
+    """Weights of sampled rows, 1 on average, with which the classes have the shares that they have among all usable labels."""
+    weight = np.array([counts[int(q)] / np.count_nonzero(y == q) for q in y])
+    return weight / weight.mean()
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample: int = SAMPLE, most_chars: int = MOST_CHARS) -> Model:
     """Fit to labels (doc_id, quality) of docs (doc_id, text) where `usable`, a condition on doc_id, holds."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality IN (0, 1) AND doc_id IS NOT NULL")
     if usable is not None:
         ids = ids.filter(usable)
     ids = ids.withColumn("h", F.xxhash64("doc_id"))
+    counts = {r["quality"]: r["n"] for r in ids.groupBy("quality").agg(F.count("*").alias("n")).collect()}  # two rows
     picked = [r for q in (0, 1) for r in ids.filter(F.col("quality") == q).orderBy("h", "doc_id").limit(sample).collect()]  # 2 * sample rows at most
     rows: list = []
     if picked:
@@ -112,7 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
     compressor = Compressor(model)
     held = [x for x in raw if x[2]]
     held = held if {q for q, _, _ in held} == {0, 1} else raw
-    w = _logistic(_terms([compressor.features(t) for _, t, _ in held]), np.array([q for q, _, _ in held], float))
+    y = np.array([q for q, _, _ in held])
+    w = _logistic(_terms([compressor.features(t) for _, t, _ in held]), y.astype(float), class_weights(y, counts))
     return Model(model.good, model.bad, w.tolist())
 
 
