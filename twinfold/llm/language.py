@@ -5,7 +5,7 @@ declared markup language (html lang), the address suffix (top-level domain) and
 to at most `sample` documents a language (a documented bound). The other tables are counts over all pages, by grouped
 aggregation of the text's own verdicts: declarations by language, suffixes by language, and hosts, their domains and
 all pages by language. The host prior is smoothed hierarchically: a host's shares shrink towards its domain's, and
-those towards the whole's. A page's own verdict is taken out of every count it meets, so no text counts twice.
+those towards the whole's (a domain is a host's last two labels, or three as in co.uk). A page's own verdict is taken out of every count it meets, so no text counts twice.
 
 Tables by host and domain are pre-aggregated and joined by equi-joins that adaptive execution can split; pages
 move without their text. Tables by language (declarations, suffixes) are joined too, never broadcast by force.
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinfold.llm.words import slices, split_words
@@ -38,7 +38,11 @@ TEXT_WEIGHT = 40.0
 #: Pseudo-counts: of all pages behind a domain, of a domain behind a host, of each language behind a table of evidence.
 DOMAIN_MASS, HOST_MASS, EVIDENCE_MASS = 20.0, 10.0, 5.0
 
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|nav|head)\b.*?</\1\s*>", re.S | re.I)
+#: Elements whose content is not shown, and labels below a country's that belong to no one host.
+_ELEMENTS = ("script", "style", "nav", "head")
+_SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "gob", "gouv", "ne", "net", "or", "org")
+_OPEN = re.compile(rf"<!--|<({'|'.join(_ELEMENTS)})\b", re.I)
+_CLOSE = {None: re.compile("-->"), **{name: re.compile(rf"</{name}\s*>", re.I) for name in _ELEMENTS}}
 _TAG = re.compile(r"<[^>]*>")
 _ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|\w+);")
 #: Lower-case letters: what is neither an ASCII letter nor beyond ASCII parts words.
@@ -52,8 +56,23 @@ class TextModel:
 
 
 def visible(html: str | None) -> str:
-    """The text a reader sees: no comments, scripts, styles, heads, navigation, tags or entities."""
-    return _ENTITY.sub(" ", _TAG.sub(" ", _HIDDEN.sub(" ", html or "")))
+    """The text a reader sees: no comments, scripts, styles, heads, navigation, tags or entities.
+
+    One scan forward: what opens and never closes hides nothing, and its close is looked for once."""
+    html, shown, at, open_for_good = html or "", [], 0, set()
+    for m in _OPEN.finditer(html):
+        kind = m.group(1) and m.group(1).lower()
+        if m.start() < at or kind in open_for_good:
+            continue
+        end = _CLOSE[kind].search(html, m.end())
+        if end is None:
+            open_for_good.add(kind)
+            continue
+        shown += [html[at : m.start()], " "]
+        at = end.end()
+    text = "".join([*shown, html[at:]])
+    last = text.rfind(">") + 1  # no tag closes after it
+    return _ENTITY.sub(" ", _TAG.sub(" ", text[:last]) + text[last:])
 
 
 def gram_codes(texts: list[str], features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
@@ -75,19 +94,32 @@ def gram_codes(texts: list[str], features: int = FEATURES) -> tuple[np.ndarray,
     return flat[at], to[bounds]
 
 
-def fit_text(docs: DataFrame, sample: int = SAMPLE, most_chars: int = MOST_CHARS) -> TextModel:
-    """Fit to at most `sample` documents (of at most `most_chars` characters, smallest hash first) of each language in docs (doc_id, text, lang)."""
+def sampled(docs: DataFrame, sample: int = SAMPLE, most_chars: int = MOST_CHARS) -> DataFrame:
+    """(lang, text) of at most `sample` documents of each language: those of the smallest hashes.
+
+    Hashes are counted by language and first 16 bits; only documents up to the bits that the sample's last hash has are
+    ranked, so no language is one hot group."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lower(F.col("lang").cast("string")).alias("lang"))
     usable = rows.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND lang <> ''").filter(F.length("text").between(1, most_chars)).withColumn("h", F.xxhash64("doc_id"))
-    languages = sorted(r["lang"] for r in usable.groupBy("lang").count().collect())  # one row a language
-    table = np.ones((len(languages), FEATURES))
-    for k, language in enumerate(languages):
-        own = usable.filter(F.col("lang") == language)
-        least = [r["h"] for r in own.select("h").orderBy("h").limit(sample).collect()]  # hashes first, so that no task sends texts that others beat
-        texts = [r["text"] for r in own.filter(F.col("h") <= least[-1]).orderBy("h", "doc_id", "text").limit(sample).select("text").collect()]
-        codes, _ = gram_codes(texts)
-        table[k] += np.bincount(codes, minlength=FEATURES)
-    return TextModel(languages, np.log(table / table.sum(1, keepdims=True)))
+    usable = usable.withColumn("bits", F.call_function("shiftright", F.col("h"), F.lit(48)))
+    below = F.sum("n").over(Window.partitionBy("lang").orderBy("bits")) - F.col("n")  # 65,536 rows a language at most
+    last = usable.groupBy("lang", "bits").agg(F.count("*").alias("n")).withColumn("below", below).filter(F.col("below") < sample).groupBy("lang").agg(F.max("bits").alias("last"))
+    near = usable.join(last, "lang").filter("bits <= last")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", "text")
+
+
+def _tables(table: pa.Table) -> pa.Table:
+    counts = np.bincount(gram_codes(table.column("text").to_pylist())[0], minlength=FEATURES)
+    return pa.table({"lang": table.column("lang").slice(0, 1), "counts": pa.ListArray.from_arrays(pa.array([0, FEATURES], pa.int32()), pa.array(counts.astype(np.int64)))})
+
+
+def fit_text(docs: DataFrame, sample: int = SAMPLE, most_chars: int = MOST_CHARS) -> TextModel:
+    """Fit to at most `sample` documents (of at most `most_chars` characters, smallest hash first) of each language in docs (doc_id, text, lang)."""
+    rows = sampled(docs, sample, most_chars).groupBy("lang").applyInArrow(_tables, "lang string, counts array<long>").collect()  # one row a language
+    rows.sort(key=lambda r: r["lang"])
+    table = np.ones((len(rows), FEATURES)) + np.array([r["counts"] for r in rows], float).reshape(-1, FEATURES)
+    return TextModel([r["lang"] for r in rows], np.log(table / table.sum(1, keepdims=True)))
 
 
 def _read(batches: Iterator[pa.RecordBatch], held: object) -> Iterator[pa.RecordBatch]:
@@ -110,7 +142,7 @@ def _address(url: Column) -> dict[str, Column]:
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     return {
         "host": host,
-        "domain": F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1),
+        "domain": F.regexp_extract(host, rf"((?:[^.]+\.(?:{'|'.join(_SECOND_LEVEL)})\.[a-z][a-z]|[^.]+\.[^.]+))$", 1),
         "suffix": F.regexp_extract(host, r"\.([^.]+)$", 1),
     }
 
@@ -126,7 +158,7 @@ def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFra
     spark = pages.sparkSession
     model = fit_text(docs, sample)
     url, html = F.col("url").cast("string"), F.col("html").cast("string")
-    declared = F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""", 1))
+    declared = F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"""(?i)<html\b[^<>]*?\blang\s*=\s*["']?([a-z]{2,3})""", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), html.alias("html"), declared.alias("declared"), *(c.alias(n) for n, c in _address(url).items()))
     if not model.languages:
         names = sorted(r["declared"] for r in rows.filter("declared <> ''").select("declared").distinct().collect())  # two or three letters each
