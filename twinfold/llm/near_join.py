@@ -111,14 +111,14 @@ def band_hashes(grams: np.ndarray, bounds: np.ndarray, bands: int, rows: int) ->
     return out
 
 
-SIGNED = "doc_id long, text_key long, set_key long, grams int, bands array<long>"
+SIGNED = "doc_id long, doc_key long, text_key long, set_key long, grams int, bands array<long>"
 
 
 def _signed(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for block in slices(batches, "text", SLICE_BYTES):
-        grams, bounds = gram_sets(block.column(2), n)
+        grams, bounds = gram_sets(block.column(3), n)
         sizes = np.diff(bounds)
         full = np.flatnonzero(sizes)
         raw = memoryview(grams.astype("<u8")).cast("B")
@@ -132,11 +132,12 @@ def _signed(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) ->
             [
                 block.column(0),
                 block.column(1),
+                block.column(2),
                 pa.array(set_key, mask=sizes == 0),
                 pa.array(sizes.astype(np.int32)),
                 lists(table.reshape(-1).view(np.int64), ends, pa.int64()),
             ],
-            names=["doc_id", "text_key", "set_key", "grams", "bands"],
+            names=["doc_id", "doc_key", "text_key", "set_key", "grams", "bands"],
         )
 
 
@@ -229,10 +230,11 @@ def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     """doc_id, class_id, n_links, n_text_links of every row of (doc_id, text)."""
     bands, rows = choose_bands(threshold, recall, most_hashes)
     text = F.col("text").cast("string")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(0)).cast("long").alias("doc_key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
     signed = stored(keyed.mapInArrow(lambda it: _signed(it, n, bands, rows), SIGNED), "signed")
     classes = signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(
-        F.count("*").alias("copies"), F.min("text_key").alias("text_key"), F.first("grams").alias("grams"), F.first("bands").alias("bands")
+        F.count("*").alias("copies"), F.min(F.struct("doc_key", "text_key")).alias("row"), F.first("grams").alias("grams"), F.first("bands").alias("bands")
     )
     classes = stored(classes, "classes")
     groups = stored(_candidate_groups(classes).select(F.col("node").alias("set_key"), F.col("component").alias("group")), "groups")
@@ -245,10 +247,11 @@ def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     small = shape.filter("blocks = 1").agg(F.sum("size").alias("size"), F.sum("mass").alias("mass")).first()
     bundles = max(1, math.ceil((small["size"] or 0) / block), math.ceil((small["mass"] or 0) / block_grams))
     placed = held.join(shape.select("group", "blocks"), "group").select(
-        "group", "blocks", "set_key", "copies", "text_key", F.pmod(F.xxhash64("set_key"), "blocks").cast("int").alias("own")
+        "group", "blocks", "set_key", "copies", "row.doc_key", "row.text_key", F.pmod(F.xxhash64("set_key"), "blocks").cast("int").alias("own")
     )
-    texts = keyed.join(placed.select("text_key").distinct().hint("merge"), "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
-    texts = texts.join(placed, "text_key").select("text", "group", "blocks", "set_key", "copies", "own")
+    row = ["doc_key", "text_key"]  # of one row of a class, so copies do not meet
+    texts = keyed.join(placed.select(*row).hint("merge"), row, "left_semi").groupBy(*row).agg(F.min("text").alias("text"))
+    texts = texts.join(placed, row).select("text", "group", "blocks", "set_key", "copies", "own")
     sets = texts.mapInArrow(lambda it: _sets(it, n), "group long, blocks int, set_key long, copies long, own int, set array<long>")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = sets.select("*", other).select(
