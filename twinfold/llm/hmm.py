@@ -5,8 +5,8 @@ one row with its own vocabulary, its words' classes and codes, and its training
 codes.
 
 * Word counts: shard vocabularies are summed by word, pre-aggregated before the shuffle; the table grows with the corpus
-  and is never broadcast. A sort-merge join sends each shard the counts of just its own words back; a word that many shards
-  hold is one key with a row a shard, which adaptive execution splits.
+  and is never broadcast. A sort-merge join sends each shard the counts of its own words back, where other shards hold them
+  too; a word that many shards hold is one key with a row a shard, which adaptive execution splits.
 * The model: hidden states emit word classes, and a class emits its words by their counts:
   p(text) = sum over state paths of prod p(state | state before) p(class | state) p(word | class). A word's class is its
   hash, one of `classes`, so that the parameters have a fixed size (states * classes numbers), which is what is
@@ -45,11 +45,11 @@ PASSES = 4
 START_DOCS, START_CHARS = 400, 1 << 16
 START_PASSES = 12
 RUN = 4096
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 24 << 20
 #: Expected counts that the corpus-wide class distribution adds to every state.
 PRIOR = 2000.0
 #: Words whose forward and backward values are held at once.
-BATCH = 1 << 17
+BATCH = 1 << 18
 
 SHARDS = "shard long, doc_ids array<long>, held_out array<boolean>, sizes array<int>, words array<string>, classes array<int>, counts array<int>, codes binary"
 
@@ -137,31 +137,40 @@ def _expected_batch(sequence: np.ndarray, start: np.ndarray, size: np.ndarray, m
     active = np.searchsorted(-size, -np.arange(steps), "left")  # runs longer than t
     edge = np.concatenate([[0], np.cumsum(active)]).tolist()
     seen = np.concatenate([sequence[start[:n] + t] for t, n in enumerate(active.tolist())])
+    states = len(model.start)
     emit = model.emit[seen]
     forward = np.empty_like(emit)
-    scale = np.empty(len(seen))
+    scale = np.empty((len(seen), 1))
+    ones = np.ones((states, 1))
+    before = forward
     for t in range(steps):
         a, b = edge[t], edge[t + 1]
-        here = emit[a:b] * (model.start if not t else forward[edge[t - 1] : edge[t - 1] + b - a] @ model.move)
-        scale[a:b] = here.sum(1)
-        forward[a:b] = here / scale[a:b, None]
-    emit /= scale[:, None]
+        here = forward[a:b]
+        if t:
+            np.matmul(before[: b - a], model.move, out=here)
+            here *= emit[a:b]
+        else:
+            np.multiply(emit[a:b], model.start, out=here)
+        np.matmul(here, ones, out=scale[a:b])
+        here /= scale[a:b]
+        before = here
+    emit /= scale
     move = np.zeros_like(model.move)
-    back = np.ones((active[-1], len(model.start)))
+    turned = np.ascontiguousarray(model.move.T)
+    back = np.ones((len(start), states))  # of runs that end at t, still ones
     for t in range(steps - 1, -1, -1):
         a, b = edge[t], edge[t + 1]
         if t < steps - 1:
-            after = emit[b : edge[t + 2]] * back
-            n = len(after)
+            n = edge[t + 2] - b
+            after = emit[b : b + n]
+            after *= back[:n]
             move += forward[a : a + n].T @ after
-            back = np.ones((b - a, len(model.start)))
-            back[:n] = after @ model.move.T
-        if not t:
-            sums.start += (forward[a:b] * back).sum(0)
-        forward[a:b] *= back
+            np.matmul(after, turned, out=back[:n])
+        forward[a:b] *= back[: b - a]
+    sums.start += forward[: edge[1]].sum(0)
     sums.move += move * model.move
-    for k in range(len(model.start)):
-        sums.emit[:, k] += np.bincount(seen, forward[:, k], minlength=len(sums.emit))
+    for k, column in enumerate(np.ascontiguousarray(forward.T)):
+        sums.emit[:, k] += np.bincount(seen, column, minlength=len(sums.emit))
     return float(np.log10(scale).sum())
 
 
@@ -237,11 +246,12 @@ def forward_scores(sequence: np.ndarray, bounds: np.ndarray, model: Model) -> np
     if not len(size):
         return scores
     state = np.zeros((len(size), len(model.start)))
+    ones = np.ones(len(model.start))
     active = np.searchsorted(-size, -np.arange(int(size[0])), "left").tolist()
     for t, n in enumerate(active):
         emit = model.emit[sequence[start[:n] + t]]
         here = emit * (state[:n] @ model.move if t else model.start)
-        scale = here.sum(1)
+        scale = here @ ones
         np.divide(here, scale[:, None], out=state[:n])
         scores[:n] += np.log10(scale)
     out = np.empty(len(scores))
@@ -259,7 +269,7 @@ def _scored(batches: Iterator[pa.RecordBatch], held: object, total: int, distinc
     for batch in batches:
         for k in range(batch.num_rows):
             out, sizes, own, codes = _opened(batch, k)
-            count = np.zeros(len(own), np.int64)
+            count = batch.column("counts")[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
             pairs = batch.column("known")[k].values
             if pairs is not None and len(pairs):
                 count[pairs.field(0).to_numpy()] = pairs.field(1).to_numpy()
@@ -302,10 +312,11 @@ def score(
     """Train on the rows of (doc_id, text) where held_out is not true, and score all rows."""
     spark = docs.sparkSession
     shards = encode(docs, held_out, shard_bytes, classes)
-    slots = shards.select("shard", F.posexplode(F.arrays_zip("words", "classes", "counts")).alias("place", "x"))
-    slots = slots.select("shard", "place", F.col("x.words").alias("word"), F.col("x.classes").alias("class"), F.col("x.counts").alias("n"))
-    words = stored(slots.groupBy("word").agg(F.sum("n").alias("count"), F.first("class").alias("class")).filter("count > 0"), "words")
-    counted = slots.select("shard", "place", "word").join(words.select("word", "count").hint("merge"), "word").drop("word")
+    slots = shards.select("shard", "classes", "counts", F.posexplode("words").alias("place", "word"))
+    summed = slots.select("word", F.col("classes")[F.col("place")].alias("class"), F.col("counts")[F.col("place")].alias("n")).groupBy("word")
+    words = stored(summed.agg(F.sum("n").alias("count"), F.max("class").alias("class"), F.count("*").alias("shards")).filter("count > 0"), "words")
+    elsewhere = words.filter("shards > 1").select("word", "count")  # of the others, a shard has the count itself
+    counted = slots.select("shard", "place", "word").join(elsewhere.hint("merge"), "word").drop("word")
     ends = shards.select(F.explode("held_out").alias("h")).filter("NOT h").count()
     table = words.groupBy("class").agg(F.sum("count").alias("tokens"), F.count("*").alias("words")).toArrow()  # a row a class
     class_tokens, class_words = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
@@ -321,7 +332,7 @@ def score(
         model = maximised(sums, shares)
 
     known = counted.groupBy("shard").agg(F.collect_list(F.struct("place", "count")).alias("known"))
-    joined = shards.select("shard", "doc_ids", "held_out", "sizes", "classes", "codes").join(known, "shard", "left")
+    joined = shards.select("shard", "doc_ids", "held_out", "sizes", "classes", "counts", "codes").join(known, "shard", "left")
     held = spark.sparkContext.broadcast((model, class_tokens, class_words))
     return joined.mapInArrow(lambda it: _scored(it, held, total, distinct, ends), SCORES)
 
