@@ -45,7 +45,7 @@ PASSES = 4
 START_DOCS, START_CHARS = 400, 1 << 16
 START_PASSES = 12
 RUN = 4096
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 #: Expected counts that the corpus-wide class distribution adds to every state.
 PRIOR = 2000.0
 #: Words whose forward and backward values are held at once.
@@ -317,7 +317,10 @@ def score(
     words = stored(summed.agg(F.sum("n").alias("count"), F.max("class").alias("class"), F.count("*").alias("shards")).filter("count > 0"), "words")
     elsewhere = words.filter("shards > 1").select("word", "count")  # of the others, a shard has the count itself
     counted = slots.select("shard", "place", "word").join(elsewhere.hint("merge"), "word").drop("word")
-    ends = shards.select(F.explode("held_out").alias("h")).filter("NOT h").count()
+    told = shards.select(F.count("*").alias("shards"), F.sum(F.size(F.filter("held_out", lambda h: ~h))).alias("ends")).first()
+    ends = told["ends"] or 0
+    # A few shards a task, for as long as the session's partitions allow: adaptive execution would put many into one.
+    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * told["shards"]))
     table = words.groupBy("class").agg(F.sum("count").alias("tokens"), F.count("*").alias("words")).toArrow()  # a row a class
     class_tokens, class_words = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
     class_tokens[table.column("class").to_numpy()] = table.column("tokens").to_numpy()
@@ -331,8 +334,9 @@ def score(
         sums, _ = baum_welch(shards, model, run)
         model = maximised(sums, shares)
 
-    known = counted.groupBy("shard").agg(F.collect_list(F.struct("place", "count")).alias("known"))
-    joined = shards.select("shard", "doc_ids", "held_out", "sizes", "classes", "counts", "codes").join(known, "shard", "left")
+    known = counted.repartition(tasks, "shard").groupBy("shard").agg(F.collect_list(F.struct("place", "count")).alias("known"))
+    rows = shards.select("shard", "doc_ids", "held_out", "sizes", "classes", "counts", "codes").repartition(tasks, "shard")
+    joined = rows.join(known.hint("merge"), "shard", "left")
     held = spark.sparkContext.broadcast((model, class_tokens, class_words))
     return joined.mapInArrow(lambda it: _scored(it, held, total, distinct, ends), SCORES)
 
