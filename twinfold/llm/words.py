@@ -67,9 +67,10 @@ def split_words(column: pa.Array, table: bytes) -> tuple[np.ndarray, np.ndarray,
     first[heads] |= inside[heads]
     at = np.flatnonzero(first)
     bounds = np.searchsorted(at, offsets)
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | first[1:]
+    edges = np.concatenate([[0], np.cumsum(np.flatnonzero(last) + 1 - at)])
     kept = data[inside]
-    starts = np.cumsum(inside, dtype=np.int64)[at] - 1
-    edges = np.append(starts, len(kept)).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(edges), pa.py_buffer(kept)])
     coded = words.dictionary_encode()
     return coded.indices.to_numpy().astype(np.int32, copy=False), bounds.astype(np.int64), coded.dictionary.cast(pa.large_binary())
