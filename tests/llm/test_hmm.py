@@ -134,3 +134,21 @@ def test_counts_reach_shards_of_any_partition(spark, monkeypatch):
     df = spark.createDataFrame(rows(), SCHEMA).repartition(3)
     assert H.encode(df, queries._remainder(7) == 2, H.SHARD_BYTES, 256).agg(F.max("shard")).first()[0] >= 4096 << 20
     check(H.score(df, queries._remainder(7) == 2, states=2, classes=256, passes=1, start_docs=10).collect(), rows())
+
+
+def test_memory_of_a_task_is_that_of_one_shard(spark):
+    """Many shards in one task: files give them one at a time, no aggregate holds the counts of several, and no row differs."""
+    import pyarrow.parquet as pq
+
+    df = spark.createDataFrame(rows(), SCHEMA).repartition(1)
+    shards = H.encode(df, queries._remainder(7) == 2, 500, 256)
+    sizes = [m.row_group(g).num_rows for f in shards.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata] for g in range(m.num_row_groups)]
+    assert len(sizes) > 20 and set(sizes) == {1}
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        scores = H.score(df, queries._remainder(7) == 2, states=2, classes=256, passes=1, start_docs=10, shard_bytes=500)
+        assert "collect_list" not in scores._jdf.queryExecution().toString()
+        check(scores.collect(), rows())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)

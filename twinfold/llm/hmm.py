@@ -2,7 +2,8 @@
 
 The corpus is encoded once into shared files: a shard is a run of whole documents of at most `shard_bytes` of text,
 one row with its own vocabulary, its words' classes and codes, and its training counts. Everything after works on
-codes.
+codes. A shard is a row group of its own, so that writers and readers hold one at a time, and scoring gets one shard
+and its words' counts at a time, however many shards a task has.
 
 * Word counts: shard vocabularies are summed by word, pre-aggregated before the shuffle; the table grows with the corpus
   and is never broadcast. A sort-merge join sends each shard the counts of its own words back, where other shards hold them
@@ -96,10 +97,10 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int, classes: int) -
 def encode(docs: DataFrame, held_out: Column, shard_bytes: int = SHARD_BYTES, classes: int = CLASSES) -> DataFrame:
     """The shards of (doc_id, text), written to the shared folder."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    return stored(rows.mapInArrow(lambda it: _shards(it, shard_bytes, classes), SHARDS), "shards")
+    return stored(rows.mapInArrow(lambda it: _shards(it, shard_bytes, classes), SHARDS), "shards", group_rows=1)
 
 
-def _opened(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
+def _opened(batch: pa.RecordBatch | pa.Table, k: int) -> tuple[np.ndarray, ...]:
     """held_out, sizes, word classes, codes of row k of a batch of shards."""
     held, sizes, classes = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("held_out", "sizes", "classes"))
     return held.astype(bool), sizes.astype(np.int64), classes, np.frombuffer(batch.column("codes")[k].as_py(), "<i4")
@@ -262,41 +263,38 @@ def forward_scores(sequence: np.ndarray, bounds: np.ndarray, model: Model) -> np
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scored(batches: Iterator[pa.RecordBatch], held: object, total: int, distinct: int, ends: int) -> Iterator[pa.RecordBatch]:
+def _scored(shard: pa.Table, counted: pa.Table, held: object, total: int, distinct: int, ends: int) -> pa.Table:
+    """The scores of one shard's rows; `counted` has the counts of its words that other shards hold too."""
     model, class_tokens, class_words = held.value
     classes = len(model.emit) - 1
     room = total + distinct + 1
-    for batch in batches:
-        for k in range(batch.num_rows):
-            out, sizes, own, codes = _opened(batch, k)
-            count = batch.column("counts")[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
-            pairs = batch.column("known")[k].values
-            if pairs is not None and len(pairs):
-                count[pairs.field(0).to_numpy()] = pairs.field(1).to_numpy()
-            base = np.log10((count + 1) / room)
-            inner = np.log10((count + 1) / (class_tokens[own] + class_words[own] + 1))
-            edge = np.concatenate([[0], np.cumsum(sizes)])
-
-            def summed(values: np.ndarray, edge: np.ndarray = edge, codes: np.ndarray = codes) -> np.ndarray:
-                found = np.zeros(len(edge) - 1)
-                full = np.flatnonzero(np.diff(edge))
-                if len(full):
-                    found[full] = np.add.reduceat(values[codes], edge[:-1][full])
-                return found
-
-            sequence, bounds = with_ends(own[codes], sizes, classes)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_ids")[k].values,
-                    pa.array(out),
-                    pa.array(sizes + 1),
-                    pa.array(summed((count > 0).astype(float)).astype(np.int64) + (ends > 0)),
-                    pa.array(np.full(len(sizes), total)),
-                    pa.array(summed(base) + np.log10((ends + 1) / room)),
-                    pa.array(summed(inner) + forward_scores(sequence, bounds, model)),
-                ],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+    out, sizes, own, codes = _opened(shard, 0)
+    count = shard.column("counts")[0].values.to_numpy(zero_copy_only=False).astype(np.int64)
+    count[counted.column("place").to_numpy()] = counted.column("count").to_numpy()
+    base = np.log10((count + 1) / room)
+    inner = np.log10((count + 1) / (class_tokens[own] + class_words[own] + 1))
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+
+    def summed(values: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(edge) - 1)
+        full = np.flatnonzero(np.diff(edge))
+        if len(full):
+            found[full] = np.add.reduceat(values[codes], edge[:-1][full])
+        return found
+
+    sequence, bounds = with_ends(own[codes], sizes, classes)
+    return pa.Table.from_arrays(
+        [
+            shard.column("doc_ids")[0].values,
+            pa.array(out),
+            pa.array(sizes + 1),
+            pa.array(summed((count > 0).astype(float)).astype(np.int64) + (ends > 0)),
+            pa.array(np.full(len(sizes), total)),
+            pa.array(summed(base) + np.log10((ends + 1) / room)),
+            pa.array(summed(inner) + forward_scores(sequence, bounds, model)),
+        ],
+        names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    )
 
 
 def score(
@@ -316,7 +314,7 @@ def score(
     summed = slots.select("word", F.col("classes")[F.col("place")].alias("class"), F.col("counts")[F.col("place")].alias("n")).groupBy("word")
     words = stored(summed.agg(F.sum("n").alias("count"), F.max("class").alias("class"), F.count("*").alias("shards")).filter("count > 0"), "words")
     elsewhere = words.filter("shards > 1").select("word", "count")  # of the others, a shard has the count itself
-    counted = slots.select("shard", "place", "word").join(elsewhere.hint("merge"), "word").drop("word")
+    counted = slots.select(F.col("shard").alias("of"), "place", "word").join(elsewhere.hint("merge"), "word").drop("word")
     told = shards.select(F.count("*").alias("shards"), F.sum(F.size(F.filter("held_out", lambda h: ~h))).alias("ends")).first()
     ends = told["ends"] or 0
     # A few shards a task, for as long as the session's partitions allow: adaptive execution would put many into one.
@@ -334,11 +332,13 @@ def score(
         sums, _ = baum_welch(shards, model, run)
         model = maximised(sums, shares)
 
-    known = counted.repartition(tasks, "shard").groupBy("shard").agg(F.collect_list(F.struct("place", "count")).alias("known"))
     rows = shards.select("shard", "doc_ids", "held_out", "sizes", "classes", "counts", "codes").repartition(tasks, "shard")
-    joined = rows.join(known.hint("merge"), "shard", "left")
     held = spark.sparkContext.broadcast((model, class_tokens, class_words))
-    return joined.mapInArrow(lambda it: _scored(it, held, total, distinct, ends), SCORES)
+
+    def scored(shard: pa.Table, known: pa.Table) -> pa.Table:
+        return _scored(shard, known, held, total, distinct, ends)
+
+    return rows.groupBy("shard").cogroup(counted.repartition(tasks, "of").groupBy("of")).applyInArrow(scored, SCORES)
 
 
 def start_texts(docs: DataFrame, count: int) -> list[str]:

@@ -43,10 +43,15 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/twinfold/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage; a lost executor loses nothing of it."""
+def stored(df: DataFrame, label: str, compression: str = "zstd", group_rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back, which cuts its lineage; a lost executor loses nothing of it.
+
+    `group_rows` limits the rows of a row group: writers hold a group, and readers take up to 4,096 rows of one at once,
+    however wide they are.
+    """
     path = shared_path(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(path)
+    writer = df.write.option("compression", compression)
+    (writer if group_rows is None else writer.option("parquet.block.row.count.limit", group_rows)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
