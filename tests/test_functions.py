@@ -33,6 +33,19 @@ def test_weak_signature_of_null_is_null(spark):
     assert df.select(digests.weak_signature(F.col("c")).alias("w")).first()["w"] is None
 
 
+def test_weak_signature_sends_heads_and_holds_one_table(spark):
+    import tracemalloc
+
+    plan = spark.createDataFrame([(b"abc",)], "c binary").select(digests.weak_signature(F.col("c")).alias("w"))._jdf.queryExecution().toString()
+    assert re.search(r"ArrowEvalPython \[signature\(substring\(\S+ 1, 32768\)", plan)
+    contents = [bytes([i % 256]) * 4000 for i in range(2000)]
+    tracemalloc.start()
+    crc, _ = digests.weak_pairs(contents, [4000] * 2000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(crc.tolist())) == 256 and peak < 12 << 20  # the table has 8 MB
+
+
 def test_format_size(spark):
     cases = {0: "0 B", 1023: "1023 B", 1024: "1 kB", 1280: "1.2 kB", 1792: "1.8 kB", 786432: "768 kB", 1048576: "1 MB", 1992294: "1.9 MB", 5 << 30: "5120 MB"}
     df = spark.createDataFrame([(n,) for n in cases], "n long")
